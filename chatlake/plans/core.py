@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from chatlake.plans import general
+
+QUERIES: dict = general.QUERIES
+SQL: dict[str, str] = general.SQL
