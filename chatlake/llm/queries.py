@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from chatlake.llm import leakage, tokenizer
+from chatlake.llm import leakage, lookalike, threads, tokenizer
 from chatlake.sources.tables import table
 
 
+def p1_found(spark, d):
+    return lookalike.lookalike_pairs(table(spark, d, "mapping"))
+
+
+def p1_forms(spark, d):
+    return lookalike.canonical_parts(table(spark, d, "mapping"))
+
+
+def p3_found(spark, d):
+    return threads.dropped_threads(table(spark, d, "parsed"))
+
+
+def p3_turns(spark, d):
+    return threads.turns(table(spark, d, "parsed"))
+
+
+def p3_threads(spark, d):
+    return threads.assembled(table(spark, d, "parsed"))[1]
+
+
 def p8_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -14,6 +34,6 @@ def p9_found(spark, d):
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_turns, p3_threads, p8_ids, p9_found)}
 
 SQL: dict[str, str] = {}
