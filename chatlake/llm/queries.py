@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlake.llm import leakage, lookalike, threads, tokenizer
+from chatlake.llm import leakage, lookalike, markup, threads, tokenizer
 from chatlake.sources.tables import table
 
 
@@ -14,6 +14,14 @@ def p1_forms(spark, d):
     return lookalike.canonical_parts(table(spark, d, "mapping"))
 
 
+def p2_found(spark, d):
+    return markup.markup_found(table(spark, d, "mapping"))
+
+
+def p2_clean(spark, d):
+    return markup.clean_parts(table(spark, d, "mapping"))
+
+
 def p3_found(spark, d):
     return threads.dropped_threads(table(spark, d, "parsed"))
 
@@ -34,6 +42,6 @@ def p9_found(spark, d):
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_turns, p3_threads, p8_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_clean, p3_found, p3_turns, p3_threads, p8_ids, p9_found)}
 
 SQL: dict[str, str] = {}
