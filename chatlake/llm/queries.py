@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlake.llm import leakage, lookalike, markup, threads, tokenizer
+from chatlake.llm import leakage, lookalike, markup, pii, spam, threads, tokenizer
 from chatlake.sources.tables import table
 
 
@@ -34,6 +34,14 @@ def p3_threads(spark, d):
     return threads.assembled(table(spark, d, "parsed"))[1]
 
 
+def p6_found(spark, d):
+    return pii.pii_found(table(spark, d, "mapping"))
+
+
+def p6_masked(spark, d):
+    return pii.masked_parts(table(spark, d, "mapping"))
+
+
 def p8_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -42,6 +50,10 @@ def p9_found(spark, d):
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_clean, p3_found, p3_turns, p3_threads, p8_ids, p9_found)}
+def p10_found(spark, d):
+    return spam.spam_pages(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_clean, p3_found, p3_turns, p3_threads, p6_found, p6_masked, p8_ids, p9_found, p10_found)}
 
 SQL: dict[str, str] = {}
