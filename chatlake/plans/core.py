@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlake.plans import general
+from chatlake.plans import general, reference
 
-QUERIES: dict = general.QUERIES
-SQL: dict[str, str] = general.SQL
+QUERIES: dict = reference.QUERIES | general.QUERIES
+SQL: dict[str, str] = reference.SQL | general.SQL
