@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions.text import light_format, text_or_parts, yaml_list
 from chatlake.functions.times import iso_utc, local_human
+from chatlake.operators.threads import positions
 
 
 def block(tz: str = "UTC", formatting: str = "light", locale: str = "iso") -> Column:
@@ -50,17 +51,16 @@ def ordered_text(column: str = "block") -> Column:
     return F.array_join(F.transform(F.array_sort(rows), lambda x: x[column]), "")
 
 
-def thread_markdown(messages: DataFrame, tz: str = "UTC", formatting: str = "light") -> DataFrame:
-    """(provider_id, conversation_id, message_count, bytes, markdown): each thread as one document.
+def thread_chunks(messages: DataFrame, tz: str = "UTC", formatting: str = "light") -> DataFrame:
+    """(provider_id, conversation_id, position, chunk): each thread's document in pieces, front matter at position 0, then its blocks.
 
-    A document is one value, so this suits threads that are meant to be read; larger ones are split by ``split``.
+    Joined in order of position the chunks are the document; no task holds a document as a whole, however long the thread.
     """
     b = blocks(messages, tz, formatting)
-    threads = b.groupBy("provider_id", "conversation_id").agg(
-        F.count("*").alias("message_count"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"), F.sort_array(F.collect_set("model")).alias("models"), ordered_text().alias("body")
-    )
-    md = F.concat(front_matter(), F.col("body"))
-    return threads.select("provider_id", "conversation_id", "message_count", F.octet_length(md).cast("bigint").alias("bytes"), md.alias("markdown"))
+    threads = b.groupBy("provider_id", "conversation_id").agg(F.count("*").alias("message_count"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"), F.sort_array(F.collect_set("model")).alias("models"))
+    head = threads.select("provider_id", "conversation_id", F.lit(0).cast("bigint").alias("position"), front_matter().alias("chunk"))
+    body = positions(b).select("provider_id", "conversation_id", "position", F.col("block").alias("chunk"))
+    return head.unionByName(body)
 
 
 def preview(messages: DataFrame, limit: int, tz: str = "UTC", formatting: str = "light") -> DataFrame:

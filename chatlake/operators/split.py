@@ -1,8 +1,7 @@
 """Splitting threads into parts by size or number of messages.
 
 The packing is a running decision per thread: each block joins the open part or opens the next.
-It needs only the sizes of the blocks, never their texts: sizes of a thread are folded inside one
-row, or in numpy-free Python over batches of rows for threads of any length.
+It needs only the sizes of the blocks, never their texts.
 """
 
 from __future__ import annotations
@@ -53,19 +52,26 @@ class SplitSpec:
         return int(self.size_limit * (1 + self.soft_overflow))
 
 
-def pack(sizes: Iterator[int] | list[int], total: int, spec: SplitSpec, overhead: int = FRONT_MATTER) -> Iterator[int]:
-    """Part number of each block, from 1, given the number of blocks."""
-    part, used, held = 1, 0, 0
-    for i, b in enumerate(sizes):
-        over_size = bool(spec.size_limit) and used + b + overhead > spec.size_limit
-        over_count = not over_size and bool(spec.count_limit) and held >= spec.count_limit
-        if over_size or over_count:
-            within = bool(spec.size_limit) and not over_count and used + b + overhead <= spec.soft_limit
-            tail = total - (i + 1) <= spec.tiny_tail
-            if (spec.hard or not (within or tail)) and held:
-                part, used, held = part + 1, 0, 0
-        used, held = used + b, held + 1
-        yield part
+class Packer:
+    """The running decision of one thread of ``total`` blocks."""
+
+    def __init__(self, spec: SplitSpec, total: int, overhead: int = FRONT_MATTER):
+        self.spec, self.total, self.overhead = spec, total, overhead
+        self.part, self.used, self.held, self.seen = 1, 0, 0, 0
+
+    def add(self, size: int) -> int:
+        """Part number of the next block, from 1."""
+        s, needed = self.spec, self.used + size + self.overhead
+        self.seen += 1
+        too_large = bool(s.size_limit) and needed > s.size_limit
+        too_many = not too_large and bool(s.count_limit) and self.held >= s.count_limit
+        if too_large or too_many:
+            tolerated = bool(s.size_limit) and not too_many and needed <= s.soft_limit
+            near_end = self.total - self.seen <= s.tiny_tail
+            if self.held and (s.hard or not (tolerated or near_end)):
+                self.part, self.used, self.held = self.part + 1, 0, 0
+        self.used, self.held = self.used + size, self.held + 1
+        return self.part
 
 
 def pack_column(sizes: Column, spec: SplitSpec, overhead: int = FRONT_MATTER) -> Column:
@@ -88,40 +94,35 @@ def pack_column(sizes: Column, spec: SplitSpec, overhead: int = FRONT_MATTER) ->
     return F.aggregate(sizes, start, step, lambda s: s["out"])
 
 
-def assign_parts(messages: DataFrame, spec: SplitSpec, tz: str = "UTC", formatting: str = "light", overhead: int = FRONT_MATTER) -> DataFrame:
-    """Blocks of messages with ``part_index``, in order of (ts, message_id) within each thread."""
+def assign_parts_in_row(messages: DataFrame, spec: SplitSpec, tz: str = "UTC", formatting: str = "light", overhead: int = FRONT_MATTER) -> DataFrame:
+    """``assign_parts`` inside the JVM: the sizes of a thread are folded in one row, so only for threads of bounded length."""
     b = blocks(messages, tz, formatting)
-    item = F.struct(F.col("ts").isNull().alias("late"), "ts", "message_id", "bytes", "block", "model")
+    item = F.struct(F.col("ts").isNull().alias("late"), "ts", "message_id", "bytes")
     rows = b.groupBy("provider_id", "conversation_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     rows = rows.withColumn("parts", pack_column(F.transform("items", lambda x: x["bytes"]), spec, overhead))
     out = rows.select("provider_id", "conversation_id", F.explode(F.arrays_zip("items", "parts")).alias("x"))
-    return out.select("provider_id", "conversation_id", "x.items.ts", "x.items.message_id", "x.items.model", "x.items.bytes", "x.items.block", F.col("x.parts").alias("part_index"))
+    return out.select("provider_id", "conversation_id", "x.items.ts", "x.items.message_id", "x.items.bytes", F.col("x.parts").alias("part_index"))
 
 
-def assign_parts_long(messages: DataFrame, spec: SplitSpec, tz: str = "UTC", formatting: str = "light", overhead: int = FRONT_MATTER) -> DataFrame:
-    """``assign_parts`` for threads of any length: rows are sorted within their partition and streamed, and only the state of the
-    open part is kept; texts stay in the JVM but for the block of each row."""
+def assign_parts(messages: DataFrame, spec: SplitSpec, tz: str = "UTC", formatting: str = "light", overhead: int = FRONT_MATTER) -> DataFrame:
+    """(provider_id, conversation_id, ts, message_id, bytes, part_index) in order of (ts, message_id) within each thread.
+
+    Packing is a sequential decision, so a thread's sizes pass through one task; they are sorted by Spark (which spills) and
+    streamed, and only the state of the open part is kept. Texts stay in the JVM.
+    """
     b = blocks(messages, tz, formatting)
     counts = b.groupBy("provider_id", "conversation_id").agg(F.count("*").alias("_total"))
     rows = b.select("provider_id", "conversation_id", "ts", "message_id", "bytes").join(counts, ["provider_id", "conversation_id"])
     rows = rows.repartition("provider_id", "conversation_id").sortWithinPartitions("provider_id", "conversation_id", F.col("ts").asc_nulls_last(), "message_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+        key, packer = None, None
         for f in frames:
             out = []
-            for p, c, b_, n in zip(f["provider_id"], f["conversation_id"], f["bytes"], f["_total"]):
+            for p, c, size, total in zip(f["provider_id"], f["conversation_id"], f["bytes"], f["_total"]):
                 if (p, c) != key:
-                    key, state = (p, c), [1, 0, 0, 0]
-                part, used, held, i = state
-                over_size = bool(spec.size_limit) and used + b_ + overhead > spec.size_limit
-                over_count = not over_size and bool(spec.count_limit) and held >= spec.count_limit
-                if (over_size or over_count) and held:
-                    within = bool(spec.size_limit) and not over_count and used + b_ + overhead <= spec.soft_limit
-                    if spec.hard or not (within or n - (i + 1) <= spec.tiny_tail):
-                        part, used, held = part + 1, 0, 0
-                state = [part, used + b_, held + 1, i + 1]
-                out.append(part)
+                    key, packer = (p, c), Packer(spec, total, overhead)
+                out.append(packer.add(size))
             yield f[["provider_id", "conversation_id", "ts", "message_id", "bytes"]].assign(part_index=pd.Series(out, index=f.index, dtype="int32"))
 
     return rows.mapInPandas(run, "provider_id string, conversation_id string, ts bigint, message_id string, bytes bigint, part_index int")
@@ -143,14 +144,17 @@ def file_name(cid: Column, index: Column, total: Column) -> Column:
 def part_documents(messages: DataFrame, spec: SplitSpec, generated_at: str, tz: str = "UTC", formatting: str = "light") -> DataFrame:
     """(provider_id, conversation_id, part_index, part_total, message_count, bytes, markdown, file_name) of each part.
 
-    The range and models of the front matter are the thread's. ``generated_at`` is given by the caller, so runs agree. In
-    hard mode the front matter is measured, not taken for a fixed size.
+    The range and models of the front matter are the thread's. ``generated_at`` is given by the caller, so runs agree.
+    Message ids are taken as unique within a thread (see ``dedupe_messages``).
     """
-    overhead = FRONT_MATTER
-    assigned = assign_parts(messages, spec, tz, formatting, overhead)
-    threads = assigned.groupBy("provider_id", "conversation_id").agg(F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"), F.sort_array(F.collect_set("model")).alias("models"), F.max("part_index").alias("part_total"))
-    parts = assigned.groupBy("provider_id", "conversation_id", "part_index").agg(F.count("*").alias("message_count"), ordered_text().alias("body"))
-    rows = parts.join(threads, ["provider_id", "conversation_id"])
+    assigned = assign_parts(messages, spec, tz, formatting)
+    threads = blocks(messages, tz, formatting).groupBy("provider_id", "conversation_id").agg(F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"), F.sort_array(F.collect_set("model")).alias("models"))
+    totals = assigned.groupBy("provider_id", "conversation_id").agg(F.max("part_index").alias("part_total"))
+    key = ["provider_id", "conversation_id", "message_id"]
+    bodies = blocks(messages, tz, formatting).select(*key, "ts", "block").join(assigned.select(*key, "part_index"), key)
+    # A part is bounded by the split, so its body is one value.
+    parts = bodies.groupBy("provider_id", "conversation_id", "part_index").agg(F.count("*").alias("message_count"), ordered_text().alias("body"))
+    rows = parts.join(threads, ["provider_id", "conversation_id"]).join(totals, ["provider_id", "conversation_id"])
     extra = [("part_index", F.col("part_index").cast("string")), ("part_total", F.col("part_total").cast("string")), ("generated_at_utc", F.lit(generated_at)), ("tz", F.lit(tz))]
     md = F.concat(front_matter(extra, "message_count"), F.col("body"))
     return rows.select("provider_id", "conversation_id", "part_index", "part_total", "message_count", F.octet_length(md).cast("bigint").alias("bytes"), md.alias("markdown"), file_name(F.col("conversation_id"), F.col("part_index"), F.col("part_total")).alias("file_name"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.session import materialize
+
 
 def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows with equal keys the one with the largest order columns; combined map-side, so a frequent key is no burden."""
@@ -57,10 +59,25 @@ def check_errors(errors: DataFrame, max_errors: int = 3) -> None:
         raise AdapterError(f"more than {max_errors} records could not be read")
 
 
+def numbered(rows: DataFrame, groups: list[str], order: list[Column | str], name: str = "position") -> DataFrame:
+    """``rows`` with their position in the group by ``order``, from 1, without bringing a group into one task.
+
+    Rows are split by range over groups and order, numbered within each range, and moved up by what the group has in the ranges
+    before. Order must be total, or ties get any of their numbers.
+    """
+    ranged = materialize(rows.repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
+    # A group has at most one row per range here.
+    before = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*groups, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(*order))
+    out = ranged.withColumn("_local", local).join(starts, [*groups, "_range"])
+    return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
+
+
 def positions(messages: DataFrame) -> DataFrame:
-    """Messages with ``position`` in their thread, from 1."""
-    w = Window.partitionBy("provider_id", "conversation_id").orderBy(F.col("ts").asc_nulls_last(), "message_id")
-    return messages.withColumn("position", F.row_number().over(w).cast("bigint"))
+    """Messages with ``position`` in their thread by (ts, message_id), unknown times last, from 1."""
+    return numbered(messages, ["provider_id", "conversation_id"], [F.col("ts").asc_nulls_last(), F.col("message_id").asc_nulls_first()])
 
 
 def fill_times(messages: DataFrame, threads: DataFrame) -> DataFrame:

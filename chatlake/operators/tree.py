@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.operators.hierarchy import label_forest
+from chatlake.operators.threads import numbered
 
 _KEY = ["conversation_id", "node_id"]
 
@@ -46,5 +47,4 @@ def reading_order(nodes: DataFrame) -> DataFrame:
     """Nodes with ``position`` in their thread: by level, then time (unknown last), then id; nodes in cycles come last."""
     at = nodes.select(*_KEY, "create_time")
     rows = levels(nodes).join(at, _KEY)
-    w = Window.partitionBy("conversation_id").orderBy(F.when(F.col("cyclic"), 1).otherwise(0), "depth", F.col("create_time").asc_nulls_last(), "node_id")
-    return rows.withColumn("position", F.row_number().over(w).cast("bigint"))
+    return numbered(rows, ["conversation_id"], [F.col("cyclic").asc(), F.col("depth").asc(), F.col("create_time").asc_nulls_last(), F.col("node_id").asc()])

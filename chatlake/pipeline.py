@@ -82,12 +82,12 @@ def parse(spark: SparkSession, provider: str, path: str, outdir: str, *, dry_run
         checked.unpersist()
 
 
-def documents(messages: DataFrame, spec: split.SplitSpec, tz: str, formatting: str, generated_at: str) -> DataFrame:
-    """(file_name, markdown, bytes, message_count) of all threads."""
+def write_markdown(messages: DataFrame, outdir: str, spec: split.SplitSpec, tz: str, formatting: str, generated_at: str) -> DataFrame:
+    """Write the Markdown of all threads; gives (path, error) of each file."""
     if spec.mode:
-        return split.part_documents(messages, spec, generated_at, tz, formatting)
-    whole = render.thread_markdown(messages, tz, formatting)
-    return whole.withColumn("file_name", split.file_name(F.col("conversation_id"), F.lit(1), F.lit(1)))
+        return files.write_documents(split.part_documents(messages, spec, generated_at, tz, formatting), outdir)
+    chunks = render.thread_chunks(messages, tz, formatting)
+    return files.write_chunks(chunks.withColumn("file_name", split.file_name(F.col("conversation_id"), F.lit(1), F.lit(1))), outdir)
 
 
 def export(spark: SparkSession, parsed: str, outdir: str, *, tz: str = "UTC", formatting: str = "light", spec: split.SplitSpec | None = None, preview: bool = False, generated_at: str | None = None) -> Result:
@@ -98,7 +98,7 @@ def export(spark: SparkSession, parsed: str, outdir: str, *, tz: str = "UTC", fo
         for r in render.preview(messages, spec.size_limit or 4 * 1024**2, tz, formatting).toLocalIterator():
             log.info("[preview] %s: %d bytes, %d messages, about %d parts", r["conversation_id"], r["bytes"], r["messages"], r["parts"])
         return Result()
-    written = files.write_documents(documents(messages, spec, tz, formatting, generated_at or now()), outdir)
+    written = write_markdown(messages, outdir, spec, tz, formatting, generated_at or now())
     result = Result()
     for r in written.toLocalIterator():
         if r["error"]:

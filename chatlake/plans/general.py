@@ -40,4 +40,26 @@ def p7_descendants(spark, d):
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_table, p5_found, p5_items, p7_found, p7_paths, p7_descendants)}
 
-SQL: dict[str, str] = {}
+LINKS = """rows_ AS (
+  SELECT conversation_id, node_id, parent AS named, NULL AS lister, true AS node FROM mapping
+  UNION ALL SELECT conversation_id, unnest(children), NULL, node_id, false FROM mapping
+  UNION ALL SELECT conversation_id, message_id, parent_id, NULL, true FROM parsed WHERE record_type = 'message' AND conversation_id NOT IN (SELECT conversation_id FROM mapping WHERE conversation_id IS NOT NULL)),
+once AS (SELECT conversation_id, node_id, coalesce(max(named), min(lister)) AS parent FROM rows_ WHERE conversation_id IS NOT NULL AND node_id IS NOT NULL GROUP BY conversation_id, node_id HAVING bool_or(node)),
+up AS (SELECT n.conversation_id, n.node_id, p.node_id AS parent FROM once n LEFT JOIN once p ON p.conversation_id = n.conversation_id AND p.node_id = n.parent),
+lv AS (SELECT conversation_id, node_id, node_id AS root_id, CAST(0 AS INTEGER) AS depth FROM up WHERE parent IS NULL
+  UNION ALL SELECT u.conversation_id, u.node_id, l.root_id, l.depth + 1 FROM up u JOIN lv l ON l.conversation_id = u.conversation_id AND l.node_id = u.parent)"""
+
+SQL: dict[str, str] = {
+    "p5_found": """WITH RECURSIVE m AS (SELECT DISTINCT node_id, message FROM mapping WHERE json_valid(message)),
+w AS (
+  SELECT node_id, CAST(message AS JSON) AS j, '' AS path, '' AS near FROM m
+  UNION ALL
+  SELECT node_id, c.j, c.path, c.near FROM (
+    SELECT node_id, unnest(CASE WHEN json_type(j) = 'OBJECT'
+        THEN [{'j': json_extract(j, '$."' || replace(k, '"', '\\"') || '"'), 'path': CASE WHEN path = '' THEN k ELSE path || '.' || k END, 'near': near} FOR k IN json_keys(j)]
+        ELSE [{'j': json_extract(j, '$[' || i || ']'), 'path': path || '[' || i || ']', 'near': CASE WHEN json_type(json_extract(j, '$[' || i || ']')) = 'OBJECT' THEN near || chr(1) || path || '[' || i || ']' ELSE near END} FOR i IN range(CAST(json_array_length(j) AS BIGINT))] END) AS c
+    FROM w WHERE json_type(j) IN ('OBJECT', 'ARRAY'))),
+o AS (SELECT node_id, path, string_split(near, chr(1)) AS ps FROM w WHERE json_type(j) = 'OBJECT' AND path LIKE '%]')
+SELECT DISTINCT node_id, path AS item_path, CASE WHEN len(ps) > 2 THEN ps[-2] ELSE '' END AS parent_path FROM o""",
+    "p7_found": f"WITH RECURSIVE {LINKS} SELECT u.conversation_id, u.node_id, coalesce(l.root_id, '') AS root_id, coalesce(l.depth, -1) AS depth FROM up u LEFT JOIN lv l ON l.conversation_id = u.conversation_id AND l.node_id = u.node_id",
+}

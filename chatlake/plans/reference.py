@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.functions import sizes, text, times
@@ -445,12 +445,11 @@ def front_matter(spark, d):
 
 
 @query(
-    f"""WITH {BLOCKS}, th AS (SELECT provider_id, conversation_id, count(*) AS message_count, {front_sql()} || string_agg(block, '' ORDER BY ts IS NULL, ts, message_id) AS md FROM bl GROUP BY provider_id, conversation_id)
-    SELECT provider_id, conversation_id, message_count, CAST(strlen(md) AS BIGINT) AS bytes, md5(md) AS markdown, sha1(md) AS checksum FROM th"""
+    f"""WITH {BLOCKS} SELECT provider_id, conversation_id, CAST(0 AS BIGINT) AS position, md5({front_sql()}) AS chunk FROM bl GROUP BY provider_id, conversation_id
+    UNION ALL SELECT provider_id, conversation_id, row_number() OVER (PARTITION BY provider_id, conversation_id ORDER BY ts IS NULL, ts, message_id), md5(block) FROM bl"""
 )
 def thread_markdown(spark, d):
-    m = render.thread_markdown(parsed(spark, d))
-    return m.withColumn("checksum", F.sha1("markdown")).withColumn("markdown", F.md5("markdown"))
+    return render.thread_chunks(parsed(spark, d)).withColumn("chunk", F.md5("chunk"))
 
 
 # Splitting.
@@ -496,8 +495,8 @@ for _name, _spec in SPECS.items():
 
 
 @query(pack_sql(SPECS["split_size"]))
-def split_long_threads(spark, d):
-    s = split.part_summary(split.assign_parts_long(parsed(spark, d), SPECS["split_size"]))
+def split_in_row(spark, d):
+    s = split.part_summary(split.assign_parts_in_row(parsed(spark, d), SPECS["split_size"]))
     return s.withColumns({"part_index": F.col("part_index").cast("bigint"), "part_total": F.col("part_total").cast("bigint")})
 
 

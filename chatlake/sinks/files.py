@@ -60,14 +60,18 @@ def write_parsed(messages: DataFrame, index: DataFrame, outdir: str) -> DataFram
     return lines.mapInPandas(_grouped_writer(outdir, "parsed.jsonl"), "path string, lines bigint, error string")
 
 
-def _grouped_writer(outdir: str, name: str):
+def _grouped_writer(outdir: str, name: str | None, end: str = "\n"):
+    """Writes rows (folder, line), sorted by folder: the file ``name`` of each folder, or without a name the file the folder names."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {"folder": None, "file": None, "tmp": None, "n": 0, "error": None}
 
+        def target_of(folder: str) -> Path:
+            return Path(outdir) / folder / name if name else Path(outdir) / folder
+
         def close():
             if state["folder"] is None:
                 return None
-            path = Path(outdir) / state["folder"] / name
+            path = target_of(state["folder"])
             if state["file"]:
                 state["file"].close()
                 if not state["error"]:
@@ -84,15 +88,15 @@ def _grouped_writer(outdir: str, name: str):
                         done.append(x)
                     state.update(folder=folder, n=0, error=None, file=None)
                     try:
-                        target = Path(outdir) / folder
-                        target.mkdir(parents=True, exist_ok=True)
-                        state["tmp"] = str(target / f".{name}.{os.getpid()}.tmp")
+                        target = target_of(folder)
+                        target.parent.mkdir(parents=True, exist_ok=True)
+                        state["tmp"] = str(target.with_name(f".{target.name}.{os.getpid()}.tmp"))
                         state["file"] = open(state["tmp"], "w", encoding="utf-8", newline="\n")
                     except OSError as e:
                         state["error"] = str(e)
                 if state["file"] and not state["error"]:
                     try:
-                        state["file"].write(line + "\n")
+                        state["file"].write(line + end)
                         state["n"] += 1
                     except OSError as e:
                         state["error"] = str(e)
@@ -103,6 +107,12 @@ def _grouped_writer(outdir: str, name: str):
     return run
 
 
+def write_chunks(chunks: DataFrame, root: str) -> DataFrame:
+    """One file per ``file_name`` of chunks (file_name, position, chunk), streamed in order; gives (path, lines, error) with the number of chunks."""
+    rows = chunks.select(F.col("file_name").alias("folder"), "position", F.col("chunk").alias("line")).repartition("folder").sortWithinPartitions("folder", "position").select("folder", "line")
+    return rows.mapInPandas(_grouped_writer(root, None, ""), "path string, lines bigint, error string")
+
+
 def write_documents(documents: DataFrame, root: str, file_name: str = "file_name", text: str = "markdown") -> DataFrame:
     """One file per row under ``root``; gives (path, bytes, error). A row that cannot be written is reported, others go on."""
 
