@@ -192,28 +192,35 @@ def _field_rows(raw: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for file_id, kind, key, typed, rescued in zip(*(c.to_pylist() for c in batch.columns)):
-                seen: dict[str, object] = {}
-                for path, text in [*typed, *rescued]:
-                    seen[path] = json.loads(text)
-                    # Objects above a rescued field are fields too; their value is rebuilt from what is below them.
-                    steps = path.split(".")
-                    for k in range(1, len(steps)):
-                        seen.setdefault(".".join(steps[:k]), _Object())
-                for path in list(seen):
-                    if isinstance(seen[path], _Object):
-                        seen[path] = {p[len(path) + 1 :]: v for p, v in seen.items() if p.startswith(path + ".") and not isinstance(v, _Object)}
-                for path, value in seen.items():
-                    for column, x in zip(out, (file_id, kind, key, path, kind_of(value), None if value is None else canonical(value))):
-                        column.append(x)
+            files, records, keys, fields, kinds, values = out = [], [], [], [], [], []
+            for file_id, record, key, typed, rescued in zip(*(c.to_pylist() for c in batch.columns)):
+                own = sorted([*typed, *rescued])
+                above: dict[str, list[str]] = {}
+                for path, text in own:
+                    # Objects above a rescued field are fields too; their value is what is below them.
+                    at = path.find(".")
+                    while at > 0:
+                        above.setdefault(path[:at], []).append(f"{path[at + 1 :]}:{text}")
+                        at = path.find(".", at + 1)
+                    kind = _KIND_OF_TEXT.get(text[0], "number")
+                    fields.append(path)
+                    kinds.append(kind if kind != "array" else kind_of(json.loads(text)))
+                    values.append(text if kind else None)
+                for path, below in above.items():
+                    fields.append(path)
+                    kinds.append("object")
+                    values.append("{" + ",".join(below) + "}")
+                n = len(own) + len(above)
+                files += [file_id] * n
+                records += [record] * n
+                keys += [key] * n
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64(), *[pa.string()] * 5])], names=["file_id", "record_kind", "id", "field", "kind", "value"])
 
     return lines.where("valid").select("file_id", "record_kind", "id", "typed", "rescued").mapInArrow(run, "file_id bigint, record_kind string, id string, field string, kind string, value string")
 
 
-class _Object:
-    """Stands for an object whose fields were rescued one by one."""
+#: Type of a JSON text by its first character; numbers begin with anything else.
+_KIND_OF_TEXT = {'"': "string", "t": "boolean", "f": "boolean", "n": None, "{": "object", "[": "array"}
 
 
 def file_pairs(manifest: DataFrame) -> DataFrame:
