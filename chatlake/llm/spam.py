@@ -9,6 +9,7 @@ training sample are marked, and a page of which they make up the greater part is
 from __future__ import annotations
 
 import io
+import math
 import re
 import sys
 from collections import Counter
@@ -51,51 +52,70 @@ FUNCTION_WORDS = set(
 _LAYOUT = set("*_`>~")
 
 _TOKEN = re.compile(
-    r"(?P<url>(?:https?://|www\.)[^\s<>\"')\]]+)|(?P<mail>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<tag>[#＃][\w-]+)|(?P<host>\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b)|(?P<html></?[A-Za-z][^<>\n]{0,300}>)"
-    r"|(?P<number>\d[\d.,:]*)|(?P<kana>[ぁ-ゟ]+)|(?P<kata>[゠-ヿ]+)|(?P<han>[一-鿿々]+)|(?P<word>[^\W\d_]+(?:['’][^\W\d_]+)?)|(?P<line>\n+)|(?P<mark>[^\w\s])|(?P<other>\w)"
+    r"(?P<url>(?:https?://|www\.)[^\s<>\"')\]]+)|(?P<mail>[\w.+-]++@[\w-]++(?:\.[\w-]++)+)|(?P<tag>[#＃][\w-]+)|(?P<host>\b(?:[a-z0-9-]++\.)+[a-z]{2,}+\b)|(?P<html></?[A-Za-z][^<>\n]{0,300}>)"
+    r"|(?P<number>\d[\d.,:]*)|(?P<kana>[ぁ-ゟ]+)|(?P<kata>[゠-ヿ]+)|(?P<han>[一-鿿々]+)|(?P<word>[^\W\d_]++(?:['’][^\W\d_]+)?)|(?P<line>\n+)|(?P<mark>[^\w\s])|(?P<other>\w)"
 )
 
-def classes(text: str) -> tuple[list[str], list[int]]:
-    """Class of each token of ``text``, and where it ends."""
-    out, ends = [], []
-    seen: dict[str, int] = {}
-    n = 0
-    for m in _TOKEN.finditer(text):
-        kind = m.lastgroup
-        token = m[0]
-        low = ""
-        if kind == "word":
-            low = token.lower()
-            if low in FUNCTION_WORDS:
-                c, low = low, ""
-            elif token.isupper() and len(token) > 1:
-                c = "CAPS"
-            else:
-                c = "W" if token[0].isupper() else "w"
-        elif kind == "kana":
-            c = token if len(token) <= 3 else "kana"
-        elif kind == "mark":
-            if token in _LAYOUT:
-                continue
-            c = token if ord(token) < 0x3100 or ord(token) >= 0xFF00 else "mark"
-        elif kind == "line":
-            if len(token) == 1:
+_SPLIT = re.compile(re.sub(r"\?P<\w+>", "?:", _TOKEN.pattern)).findall
+#: Distinct tokens a worker remembers.
+REMEMBERED = 300_000
+
+
+def _class_of(token: str) -> tuple[str, str] | None:
+    """Class of a token and what it is known by when it comes again ('' if that does not count); None of mere layout."""
+    kind = _TOKEN.match(token).lastgroup
+    if kind == "word":
+        low = token.lower()
+        if low in FUNCTION_WORDS:
+            return low, ""
+        return "CAPS" if token.isupper() and len(token) > 1 else "W" if token[0].isupper() else "w", low
+    if kind == "kana":
+        return token if len(token) <= 3 else "kana", ""
+    if kind == "mark":
+        return None if token in _LAYOUT else (token if ord(token) < 0x3100 or ord(token) >= 0xFF00 else "mark", "")
+    if kind == "line":
+        return None if len(token) == 1 else ("\n", "")
+    if kind == "number":
+        return "number" if len(token) < 5 else "long number", ""
+    return kind, token if kind in ("tag", "host", "han", "kata") else ""
+
+
+class Classes:
+    """Numbers the classes of texts: each class and its two repeated forms by ``number``."""
+
+    def __init__(self, number):
+        self.number = number
+        self.known: dict[str, tuple[int, int, int, str] | None] = {}
+
+    def look(self, token: str) -> tuple[int, int, int, str] | None:
+        got = _class_of(token)
+        if got is not None:
+            c, again = got
+            got = (self.number(c), self.number(c + "+") if again else 0, self.number(c + "++") if again else 0, again)
+        if len(self.known) < REMEMBERED:
+            self.known[token] = got
+        return got
+
+    def of(self, text: str) -> tuple[list, list[int]]:
+        """Class of each token of ``text``, and its characters."""
+        out, sizes = [], []
+        add, size, known = out.append, sizes.append, self.known
+        seen: dict[str, int] = {}
+        n = 0
+        for token in _SPLIT(text):
+            got = known[token] if token in known else self.look(token)
+            if got is None:
                 continue
-            c = "\n"
-        elif kind == "number":
-            c = "number" if len(token) < 5 else "long number"
-        else:
-            c = kind
-            low = token if kind in ("tag", "host", "han", "kata") else ""
-        if low:
-            n += 1
-            ago = n - seen.get(low, -RECENT)
-            if ago < RECENT:
-                c += "+" if ago > JUST else "++"
-            seen[low] = n
-        out.append(c)
-        ends.append(m.end())
-    return out, ends
+            c, soon, at_once, again = got
+            if again:
+                n += 1
+                ago = n - seen.get(again, -RECENT)
+                seen[again] = n
+                if ago < RECENT:
+                    c = soon if ago > JUST else at_once
+            add(c)
+            size(len(token))
+        return out, sizes
 
 
 class Prose:
@@ -112,45 +132,31 @@ class Prose:
             after1[b] += n
         self.bi, self.uni, self.after2, self.after1, self.total = bi, uni, after2, after1, sum(uni.values())
         self.memory: dict[tuple[int, int, int], float] = {}
-
-    def cost(self, a: int, b: int, c: int) -> float:
-        """Negative log2 probability of c after a and b."""
-        key = (a, b, c)
-        got = self.memory.get(key)
-        if got is None:
-            p1 = (self.uni.get(c, 0) + 0.5) / (self.total + 0.5 * (len(self.names) + 1))
-            n1 = self.after1.get(b, 0)
-            p2 = (self.bi.get((b, c), 0) + 8 * p1) / (n1 + 8)
-            n2 = self.after2.get((a, b), 0)
-            got = -float(np.log2((self.tri.get(key, 0) + 8 * p2) / (n2 + 8)))
-            if len(self.memory) < 500_000:
-                self.memory[key] = got
+        self.classes = Classes(lambda c: self.ids.get(c, 0))
+
+    def cost(self, key: tuple[int, int, int]) -> float:
+        """Negative log2 probability of a class after two others."""
+        a, b, c = key
+        p1 = (self.uni.get(c, 0) + 0.5) / (self.total + 0.5 * (len(self.names) + 1))
+        p2 = (self.bi.get((b, c), 0) + 8 * p1) / (self.after1.get(b, 0) + 8)
+        got = -math.log2((self.tri.get(key, 0) + 8 * p2) / (self.after2.get((a, b), 0) + 8))
+        if len(self.memory) < 500_000:
+            self.memory[key] = got
         return got
 
-    def costs(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Cost of each token, and where it ends."""
-        names, ends = classes(text)
-        ids = self.ids
-        out = np.empty(len(names))
-        a = b = ids.get("\n", 0)
-        for k, name in enumerate(names):
-            c = ids.get(name, 0)
-            out[k] = self.cost(a, b, c)
-            a, b = b, c
-        return out, np.array(ends, dtype=np.int64)
-
     def stretches(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Mean cost of consecutive stretches of ``STRETCH`` tokens (log2 of the perplexity), and their characters."""
-        costs, ends = self.costs(text)
-        if not len(costs):
+        """Mean cost of consecutive stretches of ``STRETCH`` tokens (log2 of the perplexity), and the characters of their tokens."""
+        ids, sizes = self.classes.of(text)
+        if not ids:
             return np.zeros(0), np.zeros(0)
+        first = self.ids.get("\n", 0)
+        memory, cost = self.memory, self.cost
+        costs = np.array([memory[k] if k in memory else cost(k) for k in zip([first, first, *ids], [first, *ids], ids)])
         at = np.arange(0, len(costs), STRETCH)
         if len(at) > 1 and len(costs) - at[-1] < STRETCH // 2:
             at = at[:-1]  # a short rest joins the stretch before
-        sums = np.add.reduceat(costs, at)
         counts = np.diff(np.append(at, len(costs)))
-        last = ends[np.append(at[1:], len(costs)) - 1]
-        return sums / counts, np.diff(np.concatenate(([0], last)))
+        return np.add.reduceat(costs, at) / counts, np.add.reduceat(np.array(sizes, dtype=np.int64), at)
 
     def abnormal_share(self, text: str) -> float:
         """Share of the characters that lie in stretches of abnormal perplexity."""
@@ -219,8 +225,9 @@ def train(folder: str) -> Prose:
         if len(texts) > SAMPLE:
             break
     prose, count, sequences = [], Counter(), []
+    by_name = Classes(lambda c: c)
     for t in texts[:SAMPLE]:
-        names = classes(t)[0]
+        names = by_name.of(t)[0]
         if not names or sentence_share(t) < 0.2:
             continue
         # Prose hardly repeats a word at once, and has few tags, links and enumerations.
