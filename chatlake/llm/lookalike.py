@@ -47,6 +47,8 @@ BREAKS = "".join(map(chr, (0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2
 #: Characters a JVM test may pass over: with only these, a text is in the form but for its edges.
 STABLE = r"^[\x20-\x7E\n]*$"
 
+_LINE_ENDS = re.compile(r"(?<! ) +(?=\n)")
+
 #: Decomposition tags under which a character looks like what it decomposes to.
 _SHOWN = ("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
 
@@ -120,7 +122,7 @@ def _canonical_segment(segment: str) -> str:
 def canonical(text: str) -> str:
     """``text`` in the form; spaces at line ends and blank edges are dropped, as they show nothing."""
     text = unstable_segments().sub(lambda m: _canonical_segment(m[0]), text.replace("\r\n", "\n"))
-    return re.sub(r" +(?=\n)", "", text).strip(" \n")
+    return _LINE_ENDS.sub("", text).strip(" \n")
 
 
 def _canonical_series(texts: pd.Series) -> pd.Series:
@@ -129,7 +131,7 @@ def _canonical_series(texts: pd.Series) -> pd.Series:
 
 def canonical_column(text: Column) -> Column:
     """The form of ``text``; only texts that fail the quick check are sent to Python."""
-    plain = F.regexp_replace(F.regexp_replace(text, r" +(?=\n)", ""), r"^[ \n]+|[ \n]+$", "")
+    plain = F.regexp_replace(F.regexp_replace(text, _LINE_ENDS.pattern, ""), r"^[ \n]+|(?<![ \n])[ \n]+$", "")
     return F.when(text.rlike(STABLE), plain).otherwise(pandas_udf(_canonical_series, "string")(F.when(~text.rlike(STABLE), text)))
 
 

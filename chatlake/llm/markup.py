@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -142,7 +143,13 @@ def build_tree(text: str, real) -> Node:
     """Tree of the tags of ``text`` that ``real`` accepts, with implied end tags; other characters are text."""
     root = Node("root")
     stack = [root]
+    held: Counter = Counter()  # open elements by name
     at = 0
+
+    def close(i: int) -> None:
+        held.subtract(n.name for n in stack[i:])
+        del stack[i:]
+
     for m in _TAG.finditer(text):
         if not real(m):
             continue
@@ -151,27 +158,28 @@ def build_tree(text: str, real) -> Node:
         at = m.end()
         name = m[2].lower()
         if m[1]:
-            if any(n.name == name for n in stack[1:]):
-                while stack.pop().name != name:
-                    pass
+            if held[name]:
+                close(max(i for i, n in enumerate(stack) if n.name == name))
             elif name == "p":
                 stack[-1].children.append(Node("p"))
             continue
         ends, scope = IMPLIED.get(name, (set(), set()))
-        if name in BLOCKS and any(n.name == "p" for n in stack[1:]):
+        if name in BLOCKS and held["p"]:
             # A block ends an open paragraph, unless a cell or item stands between.
             k = max(i for i, n in enumerate(stack) if n.name == "p")
             if not any(n.name in ("td", "th", "li", "dd") for n in stack[k:]):
-                del stack[k:]
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in scope:
-                break
-            if stack[i].name in ends:
-                del stack[i:]
+                close(k)
+        if ends:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in scope:
+                    break
+                if stack[i].name in ends:
+                    close(i)
         node = Node(name, m[3])
         stack[-1].children.append(node)
         if name not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            held[name] += 1
     if at < len(text):
         stack[-1].children.append(text[at:])
     return root
@@ -295,7 +303,7 @@ class Rendering:
         text = self.markdown(text)
         text = self.html(text)
         text = self.kept.restore(text)
-        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n|\Z)", "", text)).strip("\n")
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<![ \t])[ \t]+(?=\n|\Z)", "", text)).strip("\n")
 
     def hit(self, notation: str, text: str) -> str:
         self.found.add(notation)
@@ -356,7 +364,7 @@ class Rendering:
                 kind = open_lists[-1] if open_lists else ["itemize", 0]
                 kind[1] += 1
                 mark = f"{kind[1]}. " if kind[0] == "enumerate" else "- "
-                return self.kept.keep("  " * max(len(open_lists) - 1, 0) + mark) + (f"{i[1]}: " if i[1] else "")
+                return self.kept.keep("  " * min(max(len(open_lists) - 1, 0), 20) + mark) + (f"{i[1]}: " if i[1] else "")
 
             out.append(_ITEM.sub(item, line.lstrip() if "\\item" in line else line))
         return "\n".join(out)

@@ -52,7 +52,7 @@ FUNCTION_WORDS = set(
 _LAYOUT = set("*_`>~")
 
 _TOKEN = re.compile(
-    r"(?P<url>(?:https?://|www\.)[^\s<>\"')\]]+)|(?P<mail>[\w.+-]++@[\w-]++(?:\.[\w-]++)+)|(?P<tag>[#＃][\w-]+)|(?P<host>\b(?:[a-z0-9-]++\.)+[a-z]{2,}+\b)|(?P<html></?[A-Za-z][^<>\n]{0,300}>)"
+    r"(?P<url>(?:https?://|www\.)[^\s<>\"')\]]+)|(?P<mail>[\w.+-]++@[\w-]++(?:\.[\w-]++)+)|(?P<tag>[#＃][\w-]+)|(?P<host>\b(?:[a-z0-9-]++\.){1,8}[a-z]{2,}+\b)|(?P<html></?[A-Za-z][^<>\n]{0,300}>)"
     r"|(?P<number>\d[\d.,:]*)|(?P<kana>[ぁ-ゟ]+)|(?P<kata>[゠-ヿ]+)|(?P<han>[一-鿿々]+)|(?P<word>[^\W\d_]++(?:['’][^\W\d_]+)?)|(?P<line>\n+)|(?P<mark>[^\w\s])|(?P<other>\w)"
 )
 

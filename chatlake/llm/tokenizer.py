@@ -104,8 +104,6 @@ class Codec:
 
     def learn(self, tokens: set[str]) -> None:
         """Encode pre-tokens not met before."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         hard = []
         for t in tokens:
             code = t.encode("utf-8", "surrogatepass")
@@ -121,14 +119,12 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         """Ids of ``text`` without special tokens; an empty text has none."""
         tokens = self.split(text)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         known = self.known
-        new = {t for t in set(tokens) if t not in known}
+        new = {t for t in tokens if t not in known}
         if new:
             self.learn(new)
-            known = self.known
-            lost = {t for t in set(tokens) if t not in known}
-            if lost:  # the memory was emptied in between
-                self.learn(lost)
         out: list[int] = []
         for t in tokens:
             out += known[t]
