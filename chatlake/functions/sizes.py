@@ -42,4 +42,4 @@ def format_bytes(c: Column) -> Column:
     for k in range(len(UNITS) - 1, -1, -1):
         text = F.concat(F.format_string("%.1f", F.bround(v / float(1024**k), 1)), F.lit(UNITS[k]))
         out = text if out is None else F.when(v < float(1024 ** (k + 1)), text).otherwise(out)
-    return out
+    return F.when(c.isNotNull(), out)

@@ -13,7 +13,7 @@ FENCE = "```"
 
 def strip(c: Column) -> Column:
     """``c`` without white space of any script at its ends."""
-    return F.regexp_replace(c, rf"(?U)^{WHITE}+|{WHITE}+$", "")
+    return F.regexp_replace(c, rf"(?U)^{WHITE}+|(?<!{WHITE}){WHITE}+$", "")
 
 
 def split_lines(c: Column) -> Column:
@@ -48,7 +48,7 @@ def light_format(c: Column) -> Column:
 
     def finish(s: Column) -> Column:
         closed = F.when(s["code"], F.concat(s["out"], F.array(F.lit(FENCE)))).otherwise(s["out"])
-        return F.regexp_replace(F.array_join(closed, "\n"), r"\n+\z", "")
+        return F.regexp_replace(F.array_join(closed, "\n"), r"(?<!\n)\n+\z", "")
 
     # Lines in code keep their blank ends: they are followed by the closing fence.
     return F.aggregate(lines, start, step, finish)

@@ -197,12 +197,14 @@ def label_forest(links: DataFrame, with_path: bool = False, block_rows: int = BL
     links = links.select(*_KEY, "parent_id", F.lit(1).cast("bigint").alias("steps"), F.lit(None).cast("string").alias("trail"))
     sizes = links.groupBy("conversation_id").count().where(F.col("count") > block_rows)
     large = {r["conversation_id"]: r["count"] for r in sizes.collect()}  # at most all rows / block_rows threads
+    # So many tasks that one holds about a block, whatever the session's default.
+    tasks = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // BLOCK_ROWS))
     if not large:
-        whole = links.withColumn("block", F.lit(0)).repartition("conversation_id")
+        whole = links.withColumn("block", F.lit(0)).repartition(tasks, "conversation_id")
         return _blocks(whole, with_path).select(*_KEY, "root_id", "depth", "cyclic", "path")
     counts = F.broadcast(links.sparkSession.createDataFrame([(c, -(-n // block_rows)) for c, n in large.items()], "conversation_id string, blocks long"))
     split = links.join(counts, "conversation_id", "left")
-    split = split.withColumn("block", F.coalesce(F.pmod(F.xxhash64("node_id"), F.col("blocks")), F.lit(0))).repartition("conversation_id", "block")
+    split = split.withColumn("block", F.coalesce(F.pmod(F.xxhash64("node_id"), F.col("blocks")), F.lit(0))).repartition(tasks, "conversation_id", "block")
     labels = materialize(_blocks(split, with_path).join(counts, "conversation_id", "left"), "blocks")
     whole = labels.where("blocks IS NULL").select(*_KEY, "root_id", "depth", "cyclic", "path")
     parts = labels.where("blocks IS NOT NULL").drop("blocks")
@@ -215,7 +217,7 @@ def label_forest(links: DataFrame, with_path: bool = False, block_rows: int = BL
     below = F.expr("substring(way, length(up) + 2)") if with_path else F.lit(None).cast("string")
     forest = tops.where("lost IS NULL OR NOT lost").select(*_KEY, F.col("up").alias("parent_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.nullif(below, F.lit("")).alias("trail"))
     core, log, retired, cores = _distributed_rounds(materialize(forest, "forest"), block_rows)
-    done = _blocks(core.withColumn("block", F.lit(0)).repartition("conversation_id"), with_path).select(*_KEY, "root_id", "depth", "cyclic", "path")
+    done = _blocks(core.withColumn("block", F.lit(0)).repartition(tasks, "conversation_id"), with_path).select(*_KEY, "root_id", "depth", "cyclic", "path")
     for r in retired:
         done = done.unionByName(r.select(*_KEY, F.col("node_id").alias("root_id"), F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("cyclic"), F.col("node_id").alias("path")))
     for c in cores:

@@ -120,7 +120,7 @@ def first_violation(found: DataFrame) -> DataFrame:
 
 def numbered_lines(spark, path: str) -> DataFrame:
     """(path, line_no, raw, v) of the lines of files, numbered from 1; files are taken whole, blank lines keep their number but give no row."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     lines = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("n", "raw"))
     return lines.where(F.length(F.trim("raw")) > 0).select("path", (F.col("n") + 1).cast("bigint").alias("line_no"), "raw", F.try_parse_json("raw").alias("v"))
 
@@ -153,7 +153,7 @@ def validate_parsed(spark, path: str, stop_on_first_error: bool = False, route:
 
 def validate_manifest(spark, path: str) -> Summary:
     """Outcome for one manifest, a small file."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.lit(path).alias("path"), F.lit(1).cast("bigint").alias("line_no"), F.try_parse_json("value").alias("v"))
+    rows = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.lit(1).cast("bigint").alias("line_no"), F.try_parse_json("value").alias("v"))
     found = [r.asDict() for r in violations(rows, schema_file("manifest")).orderBy("rule").collect()]
     return Summary(path, not found, found)
 

@@ -37,21 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the session's process ends."""
+    path = f"{shared_dir(spark)}/chatlake-{spark.sparkContext.applicationId}"
+    if path not in _made:
+        _made.add(path)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        # Hadoop deletes it at the end of the JVM, whichever file system it is on.
+        folder.getFileSystem(conf).deleteOnExit(folder)
+    return path
+
+
+_made: set[str] = set()
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession, frames: list[DataFrame]) -> None:
-    """Delete what ``materialize`` wrote for these frames."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = shared_dir(spark).replace("file://", "")
-    for f in frames:
-        for name in {p.rpartition("/")[0] for p in f.inputFiles()}:
-            if base in name:
-                p = jvm.org.apache.hadoop.fs.Path(name)
-                p.getFileSystem(conf).delete(p, True)

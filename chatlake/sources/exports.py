@@ -52,11 +52,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """(source, line_no, raw, v) of files that are one array or one object; line_no is the element's position."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"))
     rows = rows.where(F.length(F.trim("value")) > 0).withColumn("v", F.try_parse_json("value"))
     array = F.schema_of_variant("v").startswith("ARRAY")
     single = rows.where(F.col("v").isNull() | ~array).select("source", F.lit(0).cast("bigint").alias("line_no"), F.col("value").alias("raw"), "v")
-    rows.where(array).createOrReplaceTempView("_chatlake_whole")
+    rows.where(array).select("source", "v").createOrReplaceTempView("_chatlake_whole")
     many = spark.sql("SELECT source, CAST(pos AS BIGINT) AS line_no, CAST(NULL AS STRING) AS raw, value AS v FROM _chatlake_whole, LATERAL variant_explode(v)")
     return single.unionByName(many)
 
@@ -70,7 +70,7 @@ def read_export(spark: SparkSession, path: str, kind: str | None = None) -> tupl
     spark.conf.set(_DUPLICATES, "true")
     try:
         if kind is None:
-            head = spark.read.option("wholetext", False).text(path).limit(2).collect()
+            head = spark.read.text(path).limit(2).collect()
             kind = sniff("\n".join(r["value"] for r in head)) if head else "lines"
         rows = read_lines(spark, path) if kind == "lines" else read_whole(spark, path)
         rows.schema  # resolves the path

@@ -28,7 +28,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     if "://" not in path and not Path(path).exists():
         return spark.createDataFrame([], MANIFEST)
     try:
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         parsed = whole.select(F.from_json("value", "provider STRING, index STRUCT<threads: ARRAY<STRUCT<conversation_id: STRING, path: STRING, count: BIGINT, ts_min: BIGINT, ts_max: BIGINT>>>").alias("m"))
         return parsed.select(F.col("m.provider").alias("provider"), F.inline("m.index.threads"))
     except Exception:  # noqa: BLE001 - an unreadable manifest counts as none
