@@ -10,6 +10,10 @@ class ChatlakeError(Exception):
         super().__init__(message)
         self.code = code or self.code
 
+    def payload(self) -> dict:
+        """The error as a record for a machine to read."""
+        return {"code": self.code, "type": type(self).__name__, "message": str(self)}
+
 
 class InputError(ChatlakeError):
     """The input cannot be read."""

@@ -213,3 +213,32 @@ def content_text(content: Column) -> Column:
         .when(sub("data").isNotNull(), sanitize(scalar(sub("data"))))
         .otherwise(sanitize(F.to_json(content)))
     )
+
+
+def preferred(content: Column, keys: tuple[str, ...]) -> Column:
+    """The first of ``keys`` that an object has as string, array or object; otherwise the content itself."""
+    out = content
+    for k in reversed(keys):
+        sub = F.try_variant_get(content, f"$.{k}", "variant")
+        out = F.when(F.coalesce(F.schema_of_variant(sub).rlike("^(STRING|ARRAY|OBJECT)"), F.lit(False)), sub).otherwise(out)
+    return out
+
+
+def normalize_text(content: Column, keys: tuple[str, ...] = (), loose: bool = True) -> Column:
+    """Text of a content VARIANT after ``preferred``; strict flattening that fails falls back to ``content_text``."""
+    from chatlake.functions.text import sanitize
+
+    c = preferred(content, keys)
+    kind = F.schema_of_variant(c)
+    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>")).when(F.schema_of_variant(F.try_variant_get(c, "$.parts", "variant")).startswith("ARRAY"), F.try_variant_get(c, "$.parts", "array<variant>"))
+    return F.coalesce(F.when(kind == "STRING", sanitize(string(c))), flatten_parts(listed, strict=not loose), content_text(c))
+
+
+def normalize_structure(content: Column, keys: tuple[str, ...] = ()) -> Column:
+    """Content as struct<content_type, parts>: an object's own, or a text of one part; parts that are no strings are JSON."""
+    c = preferred(content, keys)
+    kind = F.schema_of_variant(c)
+    has_parts = F.coalesce(F.schema_of_variant(F.try_variant_get(c, "$.parts", "variant")).startswith("ARRAY"), F.lit(False))
+    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>")).when(has_parts, F.try_variant_get(c, "$.parts", "array<variant>")).otherwise(F.array(c))
+    parts = F.transform(listed, lambda p: F.coalesce(string(p), F.to_json(p)))
+    return F.struct(F.coalesce(F.when(has_parts, string(F.try_variant_get(c, "$.content_type", "variant"))), F.lit("text")).alias("content_type"), parts.alias("parts"))

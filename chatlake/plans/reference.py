@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.functions import sizes, text, times
-from chatlake.operators import incremental, normalize, render, split, threads, tree, validate
+from chatlake.operators import fieldmap, incremental, normalize, render, split, threads, tree, validate
 from chatlake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +191,35 @@ def content_text(spark, d):
     return v.select("conversation_id", "node_id", normalize.content_text(F.try_variant_get("v", "$.content", "variant")).alias("text"))
 
 
+FIELDS = fieldmap.FieldMap(
+    {"message_id": "$.id", "role": "$.author.role | lower | unknown", "ts": "$.create_time | epoch_ms", "model": "$.metadata.model_slug | null", "status": "$.status | upper | NONE", "text": "$.content.parts | strings | join"},
+    required=("message_id", "ts"),
+    values={"role": {"tool": "function"}},
+)
+
+
+@query(
+    f"""WITH {JSON} SELECT conversation_id, json_extract_string(j, '$.id') AS message_id,
+      CASE coalesce(lower(CASE WHEN json_type(j, '$.author.role') = 'VARCHAR' THEN json_extract_string(j, '$.author.role') END), 'unknown') WHEN 'tool' THEN 'function' ELSE coalesce(lower(CASE WHEN json_type(j, '$.author.role') = 'VARCHAR' THEN json_extract_string(j, '$.author.role') END), 'unknown') END AS role,
+      CAST(trunc(TRY_CAST(json_extract_string(j, '$.create_time') AS DOUBLE) * 1000) AS BIGINT) AS ts,
+      CASE WHEN json_type(j, '$.metadata.model_slug') = 'VARCHAR' THEN json_extract_string(j, '$.metadata.model_slug') END AS model,
+      coalesce(upper(CASE WHEN json_type(j, '$.status') = 'VARCHAR' THEN json_extract_string(j, '$.status') END), 'NONE') AS status,
+      CASE WHEN json_type(j, '$.content.parts') = 'ARRAY' THEN array_to_string(list_transform(list_filter(json_extract(j, '$.content.parts[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$'), chr(10)) END AS text
+    FROM js WHERE json_type(j, '$.id') = 'VARCHAR' AND TRY_CAST(json_extract_string(j, '$.create_time') AS DOUBLE) IS NOT NULL"""
+)
+def declared_fields(spark, d):
+    rows = nodes(spark, d).select("conversation_id", F.try_parse_json("message").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    return fieldmap.apply_map(rows, FIELDS).drop("v")
+
+
+@query(None)
+def normalized_text(spark, d):
+    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    content = F.try_variant_get("v", "$.content", "variant")
+    both = normalize.normalize_structure(content, ("user_profile",))
+    return v.select("conversation_id", "node_id", normalize.normalize_text(content, ("user_profile",), loose=False).alias("text"), F.size(both["parts"]).cast("bigint").alias("n_parts"))
+
+
 # Threads.
 
 

@@ -101,3 +101,26 @@ def test_tree_views(spark):
     assert rows(tree.roots(n)) == [("c", "r"), ("d", "o"), ("d", "x")]
     assert rows(tree.orphans(n)) == [("d", "o", "gone")]
     assert rows(tree.reading_order(n), "node_id", "position") == [("a", 2), ("o", 1), ("r", 1), ("x", 2), ("y", 3)]
+
+
+def test_declared_fields(spark):
+    from chatlake.operators import fieldmap
+
+    df = conversations(spark, {"id": "a", "who": {"r": "Tool"}, "t": "5.5", "parts": ["x", 1, "y"]}, {"id": None}, {"id": "b", "t": {}})
+    m = fieldmap.FieldMap({"message_id": "$.id", "role": "$.who.r | lower | nobody", "ts": "$.t | epoch_ms", "text": "$.parts | strings | join | none", "x": "$.x | null"}, values={"role": {"tool": "function"}})
+    assert rows(fieldmap.apply_map(df, m), "message_id", "role", "ts", "text", "x") == [("a", "function", 5500, "x\ny", None), ("b", "nobody", None, "none", None)]
+    for bad in ("id", "$.a | lower | epoch_ms", "$.a; drop"):
+        with pytest.raises(AdapterError):
+            fieldmap.compile_expression(bad)
+    t = spark.createDataFrame([("c", 1, None), ("c", 2, 5), ("c", 3, None), ("d", 1, None)], "conversation_id string, position int, ts bigint")
+    assert rows(fieldmap.monotonic_times(t)) == sorted([("c", 1, 5), ("c", 2, 5), ("c", 3, 5), ("d", 1, None)], key=repr)
+    assert AdapterError("x").payload() == {"code": "LP2200", "type": "AdapterError", "message": "x"}
+
+
+def test_preferred_text_and_structure(spark):
+    df = conversations(spark, {"c": {"summary": "s"}}, {"c": {"summary": 3, "parts": ["a", {"text": "b"}]}}, {"c": ["x", {"q": 1}]}, {"c": "t"}, {"c": None}).orderBy("line_no")
+    c = F.try_variant_get("v", "$.c", "variant")
+    got = [tuple(r) for r in df.select(normalize.normalize_text(c, ("summary",)), normalize.normalize_text(c, ("summary",), loose=False)).collect()]
+    assert got == [("s", "s"), ("a b", "a b"), ('x {"q":1}', '["x",{"q":1}]'), ("t", "t"), ("", "")]
+    shape = [(r.s.content_type, r.s.parts) for r in df.select(normalize.normalize_structure(c, ("summary",)).alias("s")).collect()]
+    assert shape[:4] == [("text", ["s"]), ("text", ["a", '{"text":"b"}']), ("text", ["x", '{"q":1}']), ("text", ["t"])]
