@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "chatlake", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
@@ -13,7 +16,7 @@ def build_session(app: str = "chatlake", master: str | None = None, shuffle_part
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    return (
+    spark = (
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -21,6 +24,8 @@ def build_session(app: str = "chatlake", master: str | None = None, shuffle_part
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,3 +63,29 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that its functions run where it is not installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).parent
+    folder = _scratch(spark).removeprefix("file://")
+    folder = Path(folder if "://" not in folder else tempfile.mkdtemp(prefix="chatlake-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / f"chatlake-{app}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*")):
+            if f.suffix in (".py", ".json", ".npz"):
+                z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+
+
+_shipped: set[str] = set()
+
+
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``most`` rows, otherwise as it is; for frames that are cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

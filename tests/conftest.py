@@ -21,6 +21,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from chatlake.session import ship
+
+    ship(s)
     yield s
     s.stop()
 
