@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from chatlake.session import materialize
+
 # Letters of other scripts and the letter whose shape they share.
 SAME_SHAPE = {
     # Greek
@@ -150,10 +152,10 @@ def lookalike_pairs(mapping: DataFrame) -> DataFrame:
     texts = mapping.where("node_id IS NOT NULL AND parts IS NOT NULL").select("node_id", F.array_join("parts", "\n").alias("text")).where("text <> ''")
     forms = texts.select("node_id", "text", canonical_column(F.col("text")).alias("form")).where("form <> ''")
     # 128-bit digests stand for the texts in the shuffles.
-    nodes = forms.select("node_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("spelling")).distinct()
-    spellings = nodes.groupBy("form", "spelling").agg(F.count("*").alias("holders"))
-    several = spellings.groupBy("form").agg(F.count("*").alias("n"), F.sum("holders").alias("holders")).where("n > 1")
-    shared = nodes.join(several.select("form"), "form", "left_semi")
+    nodes = materialize(forms.select("node_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("spelling")).distinct(), "forms")
+    spellings = nodes.groupBy("form", "spelling").count()
+    several = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(nodes.join(several, "form", "left_semi"), "shared")
     a = shared.select("form", F.col("spelling").alias("spelling_a")).distinct()
     b = shared.select("form", F.col("spelling").alias("spelling_b")).distinct()
     pairs = a.join(b, "form").where("spelling_a < spelling_b").select("spelling_a", "spelling_b")
