@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.session import materialize
+from chatlake.session import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,9 @@ def kind_of(value) -> str | None:
     return "array<" + ",".join(sorted({k for v in value if (k := kind_of(v))})) + ">"
 
 
+_quoted = json.encoder.encode_basestring
+
+
 def _plain(value):
     """A value in which equal JSON values are equal texts: whole floats become integers."""
     if isinstance(value, float) and not isinstance(value, bool) and math.isfinite(value) and value == int(value):
@@ -79,6 +82,13 @@ def _plain(value):
 
 
 def canonical(value) -> str:
+    """JSON text of a value; equal values have equal texts."""
+    if value is None:
+        return "null"
+    if isinstance(value, str):
+        return _quoted(value)
+    if value is True or value is False:
+        return "true" if value else "false"
     return json.dumps(_plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
@@ -114,6 +124,38 @@ def cast(value, kind: str):
     return value if isinstance(value, list) and all(isinstance(v, str) for v in value) else None
 
 
+def record_of(text: str | None) -> dict | None:
+    """The object of a line, or None if it is none."""
+    try:
+        record = json.loads(text)
+    except (ValueError, TypeError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
+
+
+def paths_of(target: Target) -> dict[str, tuple[str, str]]:
+    """Path -> (column, type), the approved paths after the columns' own."""
+    by_path = {p: (c, k) for c, (p, k) in target.columns.items()}
+    for column, paths in target.approved.items():
+        for p in paths:
+            by_path.setdefault(p, (column, target.columns[column][1]))
+    return by_path
+
+
+def enforce(record: dict, by_path: dict[str, tuple[str, str]]) -> tuple[dict, dict[str, str], dict[str, str]]:
+    """Column values of a record, the JSON texts they came from by path, and the rescued fields by path."""
+    filled, typed, rescued = {}, {}, {}
+    for path, value in fields_of(record):
+        to = by_path.get(path)
+        got = cast(value, to[1]) if to else None
+        if got is not None and to[0] not in filled:
+            filled[to[0]] = got
+            typed[path] = canonical(value)
+        elif not isinstance(value, dict) or not value:
+            rescued[path] = canonical(value)
+    return filled, typed, rescued
+
+
 def rescue(raw: DataFrame, target: Target = RECORDS) -> DataFrame:
     """Each line of ``raw`` (file_id, line_no, record_kind, raw) once more as typed columns and ``rescued``.
 
@@ -125,30 +167,15 @@ def rescue(raw: DataFrame, target: Target = RECORDS) -> DataFrame:
     schema = "file_id bigint, line_no int, record_kind string, valid boolean, " + ", ".join(f"{c} {_SPARK_TYPES[k]}" for c, (_, k) in target.columns.items()) + ", typed map<string,string>, rescued map<string,string>"
     arrow = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "strings": pa.list_(pa.string())}
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), *(arrow[k] for _, k in target.columns.values()), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string())]
-    by_path = {p: (c, k) for c, (p, k) in target.columns.items()}
-    for column, paths in target.approved.items():
-        for p in paths:
-            by_path.setdefault(p, (column, target.columns[column][1]))
+    by_path = paths_of(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for file_id, line_no, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    record = json.loads(text)
-                    valid = isinstance(record, dict)
-                except (ValueError, TypeError, RecursionError):
-                    valid = False
-                filled, typed, rescued = {}, {}, {}
-                if valid:
-                    for path, value in fields_of(record):
-                        to = by_path.get(path)
-                        got = cast(value, to[1]) if to else None
-                        if got is not None and to[0] not in filled:
-                            filled[to[0]] = got
-                            typed[path] = canonical(value)
-                        elif not isinstance(value, dict) or not value:
-                            rescued[path] = canonical(value)
+                record = record_of(text)
+                valid = record is not None
+                filled, typed, rescued = enforce(record, by_path) if valid else ({}, {}, {})
                 rows.append([file_id, line_no, kind, valid, *(filled.get(n) for n in names), list(typed.items()), list(rescued.items())])
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["file_id", "line_no", "record_kind", "valid", *names, "typed", "rescued"])
@@ -186,15 +213,26 @@ def replay(rescued: DataFrame, approved: dict[str, tuple[str, ...]], target: Tar
 def _field_rows(raw: DataFrame) -> DataFrame:
     """(file_id, record_kind, id, field, kind, value) of each field of each rescued line; kind and value are null for a null.
 
-    Everything is rescued here: no field is taken for known before the report.
+    ``value`` is a 64-bit digest of the value's canonical text, enough to compare the values of one record. Everything is
+    rescued here: no field is taken for known before the report.
     """
-    lines = rescue(raw, Target({"id": ("id", "string")}))
+    by_path = paths_of(Target({"id": ("id", "string")}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        def digest(text: str) -> int:
+            return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
         for batch in batches:
             files, records, keys, fields, kinds, values = out = [], [], [], [], [], []
-            for file_id, record, key, typed, rescued in zip(*(c.to_pylist() for c in batch.columns)):
-                own = sorted([*typed, *rescued])
+            for file_id, record, raw_text in zip(*(c.to_pylist() for c in batch.columns)):
+                line = record_of(raw_text)
+                if line is None:
+                    continue
+                filled, typed, rescued = enforce(line, by_path)
+                key = filled.get("id")
+                own = sorted((typed | rescued).items())
                 above: dict[str, list[str]] = {}
                 for path, text in own:
                     # Objects above a rescued field are fields too; their value is what is below them.
@@ -205,18 +243,18 @@ def _field_rows(raw: DataFrame) -> DataFrame:
                     kind = _KIND_OF_TEXT.get(text[0], "number")
                     fields.append(path)
                     kinds.append(kind if kind != "array" else kind_of(json.loads(text)))
-                    values.append(text if kind else None)
+                    values.append(digest(text) if kind else None)
                 for path, below in above.items():
                     fields.append(path)
                     kinds.append("object")
-                    values.append("{" + ",".join(below) + "}")
+                    values.append(digest("{" + ",".join(below) + "}"))
                 n = len(own) + len(above)
                 files += [file_id] * n
                 records += [record] * n
                 keys += [key] * n
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64(), *[pa.string()] * 5])], names=["file_id", "record_kind", "id", "field", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64(), *[pa.string()] * 4, pa.int64()])], names=["file_id", "record_kind", "id", "field", "kind", "value"])
 
-    return lines.where("valid").select("file_id", "record_kind", "id", "typed", "rescued").mapInArrow(run, "file_id bigint, record_kind string, id string, field string, kind string, value string")
+    return raw.select(F.col("file_id").cast("bigint"), "record_kind", "raw").mapInArrow(run, "file_id bigint, record_kind string, id string, field string, kind string, value bigint")
 
 
 #: Type of a JSON text by its first character; numbers begin with anything else.
@@ -237,7 +275,7 @@ def schema_changes(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     added or removed. Files that the manifest does not name are left out.
     """
     rows = materialize(_field_rows(raw), "fields")
-    kinds = rows.groupBy("file_id", "record_kind", "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    kinds = materialize(rows.groupBy("file_id", "record_kind", "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds")), "kinds")
     pairs = file_pairs(manifest)
     new = kinds.join(pairs, "file_id").withColumnRenamed("kinds", "new_kinds")
     old = kinds.withColumnRenamed("file_id", "old_id").withColumnRenamed("kinds", "old_kinds").join(pairs, "old_id")
@@ -248,10 +286,11 @@ def schema_changes(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     came = both.where("old_kinds IS NULL").select(*key, F.col("field").alias("new_field"))
     # Values of the fields in question only, joined by record; a manifest record has no id.
     record = F.when(F.col("record_kind") == "manifest", F.lit("")).otherwise(F.col("id")).alias("id")
-    values = rows.where("value IS NOT NULL").select("file_id", "record_kind", record, "field", "value").where("id IS NOT NULL").distinct()
-    was = values.withColumnRenamed("file_id", "old_id").join(gone, ["old_id", "record_kind", "field"])
-    now = values.withColumnsRenamed({"field": "new_field", "value": "new_value"}).join(came, ["file_id", "record_kind", "new_field"])
+    values = rows.where("value IS NOT NULL").select("file_id", "record_kind", record, "field", "value").where("id IS NOT NULL")
+    was = values.withColumnRenamed("file_id", "old_id").join(broadcast_if_small(gone), ["old_id", "record_kind", "field"]).distinct()
+    now = values.withColumnsRenamed({"field": "new_field", "value": "new_value"}).join(broadcast_if_small(came), ["file_id", "record_kind", "new_field"]).distinct()
     same = was.join(now, [*key, "id"]).groupBy(*key, "field", "new_field").agg(F.min((F.col("value") == F.col("new_value")).cast("int")).alias("equal")).where("equal = 1")
+    same = materialize(same, "renames")
     renamed = same.select("file_id", "record_kind", F.lit("renamed").alias("change"), "field", "new_field")
     removed = gone.join(same, [*key, "field"], "left_anti").select("file_id", "record_kind", F.lit("removed").alias("change"), "field", F.lit("").alias("new_field"))
     added = came.join(same, [*key, "new_field"], "left_anti").select("file_id", "record_kind", F.lit("added").alias("change"), F.col("new_field").alias("field"), F.lit("").alias("new_field"))
