@@ -53,10 +53,12 @@ _LAYOUT = set("*_`>~")
 
 _TOKEN = re.compile(
     r"(?P<url>(?:https?://|www\.)[^\s<>\"')\]]+)|(?P<mail>[\w.+-]++@[\w-]++(?:\.[\w-]++)+)|(?P<tag>[#＃][\w-]+)|(?P<host>\b(?:[a-z0-9-]++\.){1,8}[a-z]{2,}+\b)|(?P<html></?[A-Za-z][^<>\n]{0,300}>)"
-    r"|(?P<number>\d[\d.,:]*)|(?P<kana>[ぁ-ゟ]+)|(?P<kata>[゠-ヿ]+)|(?P<han>[一-鿿々]+)|(?P<word>[^\W\d_]++(?:['’][^\W\d_]+)?)|(?P<line>\n+)|(?P<mark>[^\w\s])|(?P<other>\w)"
+    r"|(?P<number>\d[\d.,:]*)|(?P<kana>[ぁ-ゟ]+)|(?P<kata>[゠-ヿ]+)|(?P<han>[一-鿿々]+)|(?P<word>[^\W\d_]++(?:['’][^\W\d_]+)?)|(?P<line>\n+)|(?P<mark>//+|[^\w\s])|(?P<other>\w)"
 )
 
 _SPLIT = re.compile(re.sub(r"\?P<\w+>", "?:", _TOKEN.pattern)).findall
+#: Characters without ink, which would cut words.
+_NO_INK = dict.fromkeys((0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF))
 #: Distinct tokens a worker remembers.
 REMEMBERED = 300_000
 
@@ -68,11 +70,11 @@ def _class_of(token: str) -> tuple[str, str] | None:
         low = token.lower()
         if low in FUNCTION_WORDS:
             return low, ""
-        return "CAPS" if token.isupper() and len(token) > 1 else "W" if token[0].isupper() else "w", low
+        return "w", low
     if kind == "kana":
         return token if len(token) <= 3 else "kana", ""
     if kind == "mark":
-        return None if token in _LAYOUT else (token if ord(token) < 0x3100 or ord(token) >= 0xFF00 else "mark", "")
+        return None if token in _LAYOUT or len(token) > 1 else (token if ord(token) < 0x3100 or ord(token) >= 0xFF00 else "mark", "")
     if kind == "line":
         return None if len(token) == 1 else ("\n", "")
     if kind == "number":
@@ -102,7 +104,7 @@ class Classes:
         add, size, known = out.append, sizes.append, self.known
         seen: dict[str, int] = {}
         n = 0
-        for token in _SPLIT(text):
+        for token in _SPLIT(text.translate(_NO_INK)):
             got = known[token] if token in known else self.look(token)
             if got is None:
                 continue
@@ -236,18 +238,24 @@ def train(folder: str) -> Prose:
         cuts = sum(c in "|/;·" for c in names) / len(names)
         if again < 0.04 and links < 0.08 and cuts < 0.06:
             prose.append(t)
-            sequences.append(names)
+            sequences.append([names[i : i + STRETCH] for i in range(0, len(names), STRETCH)])
             count.update(names)
+    # Signs of a pile are classes of their own, however rare they are in prose.
+    signs = [k + again for k in ("tag", "host", "url", "mail", "html", "w", "han", "kata") for again in ("", "+", "++")]
     names = [c for c, n in count.most_common() if n >= 20]
+    names += [c for c in signs if c not in names]
     ids = {c: i + 1 for i, c in enumerate(names)}
     tri: Counter = Counter()
-    for s in sequences:
+    for stretches in sequences:
         a = b = ids.get("\n", 0)
-        for name in s:
-            c = ids.get(name, 0)
-            tri[a, b, c] += 1
-            a, b = b, c
-    model = Prose(names, {k: n for k, n in tri.items()}, -1.0, 1e9)
+        for s in stretches:
+            # An enumeration inside prose is not learnt.
+            learn = sum(c.rstrip("+") in ("tag", "host", "url", "html") or c.endswith("++") for c in s) < 0.3 * len(s)
+            for name in s:
+                c = ids.get(name, 0)
+                tri[a, b, c] += learn
+                a, b = b, c
+    model = Prose(names, {k: n for k, n in tri.items() if n}, -1.0, 1e9)
     means = np.concatenate([model.stretches(t)[0] for t in prose])
     model.low, model.high = float(np.quantile(means, 0.0005)), float(np.quantile(means, 0.999))
     print(len(prose), "texts of prose,", len(names), "classes,", len(tri), "trigrams; log2 perplexity within", model.low, model.high)
