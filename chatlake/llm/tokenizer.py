@@ -13,6 +13,7 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,14 +122,12 @@ class Codec:
         tokens = self.split(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = {t for t in tokens if t not in known}
-        if new:
-            self.learn(new)
-        out: list[int] = []
-        for t in tokens:
-            out += known[t]
-        return out
+        known = self.known.__getitem__
+        try:
+            return list(chain.from_iterable(map(known, tokens)))
+        except KeyError:
+            self.learn({t for t in tokens if t not in self.known})
+            return list(chain.from_iterable(map(known, tokens)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: the inverse mapping of pieces to bytes."""
