@@ -104,7 +104,7 @@ class Classes:
         add, size, known = out.append, sizes.append, self.known
         seen: dict[str, int] = {}
         n = 0
-        for token in _SPLIT(text.translate(_NO_INK)):
+        for token in _SPLIT(text if text.isascii() else text.translate(_NO_INK)):
             got = known[token] if token in known else self.look(token)
             if got is None:
                 continue
