@@ -41,6 +41,26 @@ def field(v: str, path: str) -> Column:
     return F.try_variant_get(F.col(v), path, "variant")
 
 
+def is_object(x: Column) -> Column:
+    """Whether a VARIANT is an object; a cast looks at its head only, where its schema would be built from all of it."""
+    return F.try_variant_get(x, "$", "struct<_:variant>").isNotNull()
+
+
+def is_array(x: Column) -> Column:
+    """Whether a VARIANT is an array."""
+    return F.try_variant_get(x, "$", "array<variant>").isNotNull()
+
+
+def fields(x: Column, *names: str) -> Column:
+    """A VARIANT object as a struct of the named fields (VARIANTs); null of anything else."""
+    return F.try_variant_get(x, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
+
+
+def only_objects(rows: DataFrame, x: Column, names: tuple[str, ...], keep: list[Column | str]) -> DataFrame:
+    """``keep`` and the named fields of the rows in which ``x`` is an object; each value is looked at once."""
+    return rows.select(*keep, F.inline(F.array_compact(F.array(fields(x, *names)))))
+
+
 def string(x: Column) -> Column:
     """A VARIANT that is a string, otherwise null."""
     return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
@@ -85,33 +105,43 @@ def conversation_id(v: str = "v", source: Column | None = None) -> Column:
 def nodes(conversations: DataFrame, with_source: bool = True) -> DataFrame:
     """(conversation_id, node_id, node) of conversations (source, line_no, v): the objects of ``mapping``; other mappings give none."""
     rows = conversations.withColumn("conversation_id", conversation_id("v", F.col("source") if with_source else None)).withColumn("mapping", field("v", "$.mapping"))
-    rows.where(F.schema_of_variant("mapping").startswith("OBJECT")).select("conversation_id", "mapping").createOrReplaceTempView("_chatlake_mappings")
+    rows.where(is_object(F.col("mapping"))).select("conversation_id", "mapping").createOrReplaceTempView("_chatlake_mappings")
     out = conversations.sparkSession.sql("SELECT conversation_id, key AS node_id, value AS node FROM _chatlake_mappings, LATERAL variant_explode(mapping)")
-    return out.where(F.schema_of_variant("node").startswith("OBJECT"))
+    return out.where(is_object(F.col("node")))
 
 
-def message_columns(message: str, node_id: Column, parent: Column, node_time: Column) -> dict[str, Column]:
-    """Columns of a normalised message from the VARIANT column ``message`` of its node."""
-    role = F.coalesce(F.nullif(_first_truthy(field(message, "$.author.role"), field(message, "$.role")), F.lit("")), F.lit("unknown"))
-    content = field(message, "$.content")
-    parts = F.try_variant_get(content, "$.parts", "array<variant>")
-    strings = F.filter(F.transform(parts, string), lambda x: x.isNotNull())
-    parts = F.when(F.schema_of_variant(field(message, "$.content.parts")).startswith("ARRAY"), F.coalesce(strings, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    return {
-        "message_id": F.coalesce(F.nullif(string(field(message, "$.id")), F.lit("")), node_id),
-        "parent_id": parent,
-        "role": role,
-        "ts": epoch_ms(truthy_seconds(field(message, "$.create_time"), node_time)),
-        "content_type": F.coalesce(string(field(message, "$.content.content_type")), F.lit("text")),
-        "parts": parts,
-        "model": string(field(message, "$.metadata.model_slug")),
-    }
+#: Fields of a message that are read.
+MESSAGE_FIELDS = ("id", "author", "role", "content", "create_time", "metadata")
+_NO_STRINGS = "array<string>"
 
 
-def _first_truthy(a: Column, b: Column) -> Column:
-    """The first value if it counts as true, else the second; '' of what is no string."""
-    falsy = a.isNull() | F.is_variant_null(a) | F.coalesce(string(a) == "", F.lit(False))
-    return F.when(falsy, F.coalesce(string(b), F.lit(""))).otherwise(F.coalesce(string(a), F.lit("")))
+def message_rows(rows: DataFrame, message: Column) -> DataFrame:
+    """Rows (conversation_id, node_id, parent, node_time) whose ``message`` is an object, with the columns of a normalised message.
+
+    ``parent`` is a string, ``node_time`` the node's own time as VARIANT.
+    """
+    m = only_objects(rows, message, MESSAGE_FIELDS, ["conversation_id", "node_id", F.col("parent").alias("parent_id"), "node_time"])
+    m = m.select(
+        "conversation_id",
+        "parent_id",
+        F.coalesce(F.nullif(string(F.col("id")), F.lit("")), F.col("node_id")).alias("message_id"),
+        fields(F.col("author"), "role")["role"].alias("author_role"),
+        "role",
+        epoch_ms(truthy_seconds(F.col("create_time"), F.col("node_time"))).alias("ts"),
+        fields(F.col("content"), "content_type", "parts").alias("c"),
+        string(fields(F.col("metadata"), "model_slug")["model_slug"]).alias("model"),
+    )
+    strings = F.filter(F.transform(F.try_variant_get(F.col("c.parts"), "$", "array<variant>"), string), lambda x: x.isNotNull())
+    return m.select(
+        "conversation_id",
+        "message_id",
+        "parent_id",
+        F.coalesce(F.nullif(_first_truthy(F.col("author_role"), F.col("role")), F.lit("")), F.lit("unknown")).alias("role"),
+        "ts",
+        F.coalesce(string(F.col("c.content_type")), F.lit("text")).alias("content_type"),
+        F.coalesce(strings, F.array().cast(_NO_STRINGS)).alias("parts"),
+        "model",
+    )
 
 
 def finish(rows: DataFrame, provider_id: str) -> DataFrame:
@@ -132,18 +162,22 @@ def finish(rows: DataFrame, provider_id: str) -> DataFrame:
 @provider("openai")
 def openai(conversations: DataFrame) -> DataFrame:
     """Messages of exported conversations: structural nodes and messages without a time are dropped."""
-    rows = nodes(conversations).withColumn("message", field("node", "$.message"))
-    rows = rows.where(F.schema_of_variant("message").startswith("OBJECT"))
-    columns = message_columns("message", F.col("node_id"), string(field("node", "$.parent")), field("node", "$.create_time"))
-    return finish(rows.select("conversation_id", *(c.alias(n) for n, c in columns.items())), "openai")
+    rows = only_objects(nodes(conversations), F.col("node"), ("message", "parent", "create_time"), ["conversation_id", "node_id"])
+    rows = rows.select("conversation_id", "node_id", "message", string(F.col("parent")).alias("parent"), F.col("create_time").alias("node_time"))
+    return finish(message_rows(rows, F.col("message")), "openai")
 
 
 def openai_nodes(mapping: DataFrame) -> DataFrame:
     """Messages of a table of nodes (conversation_id, node_id, parent, message as JSON text, create_time)."""
-    rows = mapping.withColumn("v", F.try_parse_json("message")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    rows = rows.withColumn("node_time", F.to_variant_object(F.struct(F.col("create_time").alias("t"))))
-    columns = message_columns("v", F.col("node_id"), F.col("parent"), F.try_variant_get("node_time", "$.t", "variant"))
-    return finish(rows.select("conversation_id", *(c.alias(n) for n, c in columns.items())), "openai")
+    node_time = F.try_variant_get(F.to_variant_object(F.struct(F.col("create_time").alias("t"))), "$.t", "variant")
+    rows = mapping.select("conversation_id", "node_id", "parent", "message", node_time.alias("node_time"))
+    return finish(message_rows(rows, F.try_parse_json("message")), "openai")
+
+
+def _first_truthy(a: Column, b: Column) -> Column:
+    """The first value if it counts as true, else the second; '' of what is no string."""
+    falsy = a.isNull() | F.is_variant_null(a) | F.coalesce(string(a) == "", F.lit(False))
+    return F.when(falsy, F.coalesce(string(b), F.lit(""))).otherwise(F.coalesce(string(a), F.lit("")))
 
 
 @provider("claude")
@@ -189,7 +223,7 @@ def flatten_parts(parts: Column, strict: bool = False) -> Column:
     def one(p: Column) -> Column:
         kind = F.schema_of_variant(p)
         inner = F.coalesce(*(F.nullif(string(F.try_variant_get(p, f"$.{n}", "variant")), F.lit("")) for n in ("text", "delta")))
-        text = F.when(kind == "STRING", string(p)).when(kind.startswith("OBJECT"), inner)
+        text = F.when(kind == "STRING", string(p)).when(is_object(p), inner)
         return text if strict else F.coalesce(text, F.to_json(p))
 
     texts = F.transform(parts, one)
@@ -208,7 +242,7 @@ def content_text(content: Column) -> Column:
     return (
         F.when(content.isNull() | F.is_variant_null(content), F.lit(""))
         .when(kind == "STRING", sanitize(string(content)))
-        .when(F.schema_of_variant(sub("parts")).startswith("ARRAY"), flatten_parts(parts))
+        .when(is_array(sub("parts")), flatten_parts(parts))
         .when(sub("text").isNotNull(), sanitize(scalar(sub("text"))))
         .when(sub("data").isNotNull(), sanitize(scalar(sub("data"))))
         .otherwise(sanitize(F.to_json(content)))
@@ -220,7 +254,7 @@ def preferred(content: Column, keys: tuple[str, ...]) -> Column:
     out = content
     for k in reversed(keys):
         sub = F.try_variant_get(content, f"$.{k}", "variant")
-        out = F.when(F.coalesce(F.schema_of_variant(sub).rlike("^(STRING|ARRAY|OBJECT)"), F.lit(False)), sub).otherwise(out)
+        out = F.when(string(sub).isNotNull() | is_array(sub) | is_object(sub), sub).otherwise(out)
     return out
 
 
@@ -230,7 +264,7 @@ def normalize_text(content: Column, keys: tuple[str, ...] = (), loose: bool = Tr
 
     c = preferred(content, keys)
     kind = F.schema_of_variant(c)
-    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>")).when(F.schema_of_variant(F.try_variant_get(c, "$.parts", "variant")).startswith("ARRAY"), F.try_variant_get(c, "$.parts", "array<variant>"))
+    listed = F.when(is_array(c), F.try_variant_get(c, "$", "array<variant>")).when(is_array(F.try_variant_get(c, "$.parts", "variant")), F.try_variant_get(c, "$.parts", "array<variant>"))
     return F.coalesce(F.when(kind == "STRING", sanitize(string(c))), flatten_parts(listed, strict=not loose), content_text(c))
 
 
@@ -238,7 +272,7 @@ def normalize_structure(content: Column, keys: tuple[str, ...] = ()) -> Column:
     """Content as struct<content_type, parts>: an object's own, or a text of one part; parts that are no strings are JSON."""
     c = preferred(content, keys)
     kind = F.schema_of_variant(c)
-    has_parts = F.coalesce(F.schema_of_variant(F.try_variant_get(c, "$.parts", "variant")).startswith("ARRAY"), F.lit(False))
-    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>")).when(has_parts, F.try_variant_get(c, "$.parts", "array<variant>")).otherwise(F.array(c))
+    has_parts = F.coalesce(is_array(F.try_variant_get(c, "$.parts", "variant")), F.lit(False))
+    listed = F.when(is_array(c), F.try_variant_get(c, "$", "array<variant>")).when(has_parts, F.try_variant_get(c, "$.parts", "array<variant>")).otherwise(F.array(c))
     parts = F.transform(listed, lambda p: F.coalesce(string(p), F.to_json(p)))
     return F.struct(F.coalesce(F.when(has_parts, string(F.try_variant_get(c, "$.content_type", "variant"))), F.lit("text")).alias("content_type"), parts.alias("parts"))

@@ -133,7 +133,7 @@ def normalize_messages(spark, d):
 @query(f"WITH {NODES} SELECT conversation_id, node_id FROM nodes WHERE message IS NULL OR NOT json_valid(message) OR json_type(message) <> 'OBJECT'")
 def structural_nodes(spark, d):
     v = nodes(spark, d).withColumn("v", F.try_parse_json("message"))
-    return v.where(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))).select("conversation_id", "node_id")
+    return v.where(~normalize.is_object(F.col("v"))).select("conversation_id", "node_id")
 
 
 @query(f"WITH {MESSAGES} SELECT message_id, array_to_string(parts, '|') AS parts, text FROM msgs WHERE len(parts) <> 1")
@@ -158,7 +158,7 @@ def epoch_ms(spark, d):
     SELECT file_id, line_no, CASE WHEN t[1] = 'VARCHAR' AND s[1] <> '' THEN s[1] WHEN t[2] = 'VARCHAR' AND s[2] <> '' THEN s[2] WHEN t[3] = 'VARCHAR' AND s[3] <> '' THEN s[3] ELSE 'file-' || file_id END AS cid FROM c"""
 )
 def derive_conversation_id(spark, d):
-    rows = table(spark, d, "raw_records").withColumn("v", F.try_parse_json("raw")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    rows = table(spark, d, "raw_records").withColumn("v", F.try_parse_json("raw")).where(normalize.is_object(F.col("v")))
     source = F.concat(F.lit("/exports/file-"), F.col("file_id").cast("string"), F.lit(".jsonl"))
     return rows.select("file_id", "line_no", normalize.conversation_id("v", source).alias("cid"))
 
@@ -171,7 +171,7 @@ def sha1_id_fallback(spark, d):
 
 @query(None)
 def flatten_parts_loose(spark, d):
-    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(normalize.is_object(F.col("v")))
     return v.select("conversation_id", "node_id", normalize.flatten_parts(F.try_variant_get("v", "$.content.parts", "array<variant>")).alias("text"))
 
 
@@ -181,13 +181,13 @@ def flatten_parts_loose(spark, d):
     SELECT conversation_id, node_id, CASE WHEN len(list_filter(ts, lambda x: x IS NULL)) = 0 THEN array_to_string(list_transform(ts, lambda x: regexp_replace(regexp_replace(regexp_replace(replace(x, chr(160), ' '), '[\\x00-\\x1F\\x7F]', '', 'g'), '{WHITE}+', ' ', 'g'), '^{WHITE}+|{WHITE}+$', '', 'g')), ' ') END AS text FROM t"""
 )
 def flatten_parts_strict(spark, d):
-    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(F.schema_of_variant(F.try_variant_get("v", "$.content.parts", "variant")).startswith("ARRAY"))
+    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(F.try_variant_get("v", "$.content.parts", "array<variant>").isNotNull())
     return v.select("conversation_id", "node_id", normalize.flatten_parts(F.try_variant_get("v", "$.content.parts", "array<variant>"), strict=True).alias("text"))
 
 
 @query(None)
 def content_text(spark, d):
-    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(normalize.is_object(F.col("v")))
     return v.select("conversation_id", "node_id", normalize.content_text(F.try_variant_get("v", "$.content", "variant")).alias("text"))
 
 
@@ -208,13 +208,13 @@ FIELDS = fieldmap.FieldMap(
     FROM js WHERE json_type(j, '$.id') = 'VARCHAR' AND TRY_CAST(json_extract_string(j, '$.create_time') AS DOUBLE) IS NOT NULL"""
 )
 def declared_fields(spark, d):
-    rows = nodes(spark, d).select("conversation_id", F.try_parse_json("message").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    rows = nodes(spark, d).select("conversation_id", F.try_parse_json("message").alias("v")).where(normalize.is_object(F.col("v")))
     return fieldmap.apply_map(rows, FIELDS).drop("v")
 
 
 @query(None)
 def normalized_text(spark, d):
-    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    v = nodes(spark, d).withColumn("v", F.try_parse_json("message")).where(normalize.is_object(F.col("v")))
     content = F.try_variant_get("v", "$.content", "variant")
     both = normalize.normalize_structure(content, ("user_profile",))
     return v.select("conversation_id", "node_id", normalize.normalize_text(content, ("user_profile",), loose=False).alias("text"), F.size(both["parts"]).cast("bigint").alias("n_parts"))

@@ -54,7 +54,7 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """(source, line_no, raw, v) of files that are one array or one object; line_no is the element's position."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"))
     rows = rows.where(F.length(F.trim("value")) > 0).withColumn("v", F.try_parse_json("value"))
-    array = F.schema_of_variant("v").startswith("ARRAY")
+    array = F.try_variant_get("v", "$", "array<variant>").isNotNull()
     single = rows.where(F.col("v").isNull() | ~array).select("source", F.lit(0).cast("bigint").alias("line_no"), F.col("value").alias("raw"), "v")
     rows.where(array).select("source", "v").createOrReplaceTempView("_chatlake_whole")
     many = spark.sql("SELECT source, CAST(pos AS BIGINT) AS line_no, CAST(NULL AS STRING) AS raw, value AS v FROM _chatlake_whole, LATERAL variant_explode(v)")
@@ -76,7 +76,7 @@ def read_export(spark: SparkSession, path: str, kind: str | None = None) -> tupl
         rows.schema  # resolves the path
     except AnalysisException as e:
         raise InputError(f"cannot read {path}: {e.getCondition() or e}") from e
-    good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    good = F.try_variant_get("v", "$", "struct<_:variant>").isNotNull()
     return rows.where(good).select("source", "line_no", "v"), rows.where(~good).select("source", "line_no", "raw")
 
 

@@ -16,7 +16,7 @@ def stream_exports(spark: SparkSession, folder: str) -> DataFrame:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = spark.readStream.format("text").load(folder)
     rows = rows.select(F.col("_metadata.file_path").alias("source"), F.lit(None).cast("bigint").alias("line_no"), F.try_parse_json("value").alias("v"))
-    return rows.where(F.schema_of_variant("v").startswith("OBJECT"))
+    return rows.where(F.try_variant_get("v", "$", "struct<_:variant>").isNotNull())
 
 
 def run(spark: SparkSession, folder: str, table: str, checkpoint: str, provider: str = "openai") -> StreamingQuery:
