@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.errors import ValidationError
+from chatlake.operators.normalize import is_array, is_object
 
 #: Reasons of the quick check, in the order in which they are looked for.
 REASONS = ("conversation_id", "message_id", "role", "ts", "content", "content.content_type", "content.parts", "text")
@@ -51,7 +52,7 @@ def fail_fast(messages: DataFrame) -> DataFrame:
 # JSON Schema: records as VARIANT, so that types count.
 
 #: JSON type -> what ``schema_of_variant`` says of it.
-_KINDS = {"string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "object": "^OBJECT", "array": "^ARRAY", "boolean": "^BOOLEAN$", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"}
+_KINDS = {"string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "boolean": "^BOOLEAN$", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"}
 
 
 def schema_file(name: str) -> dict:
@@ -77,7 +78,11 @@ def schema_rules(schema: dict, v: str = "v", path: str = "") -> list[tuple[str,
     fits = F.lit(True)
     if "type" in schema:
         types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        fits = F.coalesce(kind.rlike("|".join(_KINDS.get(t, "^VOID$") for t in types)), F.lit(False))
+        fits = F.lit(False)
+        for t in types:
+            # Objects and arrays are told by a cast: the schema of a large value is built from all of it.
+            own = is_object(here) if t == "object" else is_array(here) if t == "array" else F.coalesce(kind.rlike(_KINDS.get(t, "^VOID$")), F.lit(False))
+            fits = fits | own
         out.append((label, f"is not of type {', '.join(map(repr, types))}", present & ~fits))
     text = F.try_variant_get(here, "$", "string")
     if "const" in schema:
@@ -99,7 +104,7 @@ def schema_rules(schema: dict, v: str = "v", path: str = "") -> list[tuple[str,
             keys = F.map_keys(F.try_variant_get(here, "$", "map<string,variant>"))
             out.append((label, "additional properties are not allowed", present & fits & F.coalesce(F.size(F.array_except(keys, known)) > 0, F.lit(False))))
     if "items" in schema and isinstance(schema["items"].get("type"), str):
-        bad = F.exists(F.try_variant_get(here, "$", "array<variant>"), lambda x: ~F.coalesce(F.schema_of_variant(x).rlike(_KINDS[schema["items"]["type"]]), F.lit(False)))
+        bad = F.exists(F.try_variant_get(here, "$", "array<variant>"), lambda x: ~F.coalesce(F.schema_of_variant(x).rlike(_KINDS.get(schema["items"]["type"], "^" + schema["items"]["type"].upper())), F.lit(False)))
         out.append((label, f"has items that are not of type {schema['items']['type']!r}", present & F.coalesce(bad, F.lit(False))))
     return out
 

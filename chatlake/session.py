@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -72,15 +73,19 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     package = Path(__file__).parent
-    folder = _scratch(spark).removeprefix("file://")
-    folder = Path(folder if "://" not in folder else tempfile.mkdtemp(prefix="chatlake-"))
-    folder.mkdir(parents=True, exist_ok=True)
-    path = folder / f"chatlake-{app}.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*")):
             if f.suffix in (".py", ".json", ".npz"):
                 z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(path))
+    # Written by Hadoop, so the shared folder may be on any file system.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_scratch(spark)}/chatlake.zip")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(data.getvalue())
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(path.toString())
 
 
 _shipped: set[str] = set()
