@@ -69,3 +69,72 @@ def test_unified_table(spark):
 def test_empty(spark):
     raw, manifest = tables(spark, {1: [("node", {"id": 1})]})
     assert drift.schema_changes(raw.limit(0), manifest.limit(0)).count() == 0
+
+
+# The whole report against a plain restatement of its definition, on the sample table.
+
+
+def types(value):
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, (int, float)):
+        return "number"
+    if isinstance(value, list):
+        return "array", frozenset(types(v) for v in value if v is not None)
+    return "object" if isinstance(value, dict) else "string"
+
+
+def flat(obj, prefix=""):
+    out = {}
+    for k, v in obj.items():
+        out[prefix + k] = v
+        if isinstance(v, dict):
+            out |= flat(v, f"{prefix}{k}.")
+    return out
+
+
+def restated(raw, manifest):
+    fields, records = {}, {}
+    for file_id, kind, text in raw:
+        try:
+            record = json.loads(text)
+        except (ValueError, TypeError):
+            continue
+        if isinstance(record, dict):
+            f = flat(record)
+            for p, v in f.items():
+                fields.setdefault((file_id, kind), {}).setdefault(p, set()).update({types(v)} - {None})
+            records.setdefault((file_id, kind), []).append(("" if kind == "manifest" else record.get("id"), f))
+    out = set()
+    for (s1, _, old), (s2, _, new) in zip(manifest, manifest[1:]):
+        for kind in ("node", "manifest") if s1 == s2 else ():
+            a, b = fields.get((old, kind), {}), fields.get((new, kind), {})
+            report = [("type_changed", p, "") for p in a.keys() & b.keys() if a[p] and b[p] and a[p] != b[p]]
+            moved = set()
+            for x in a.keys() - b.keys():
+                for y in b.keys() - a.keys():
+                    pairs = [(f[x], g[y]) for i, f in records.get((old, kind), []) for j, g in records.get((new, kind), []) if i is not None and i == j and f.get(x) is not None and g.get(y) is not None]
+                    if pairs and all(u == v and types(u) == types(v) for u, v in pairs):
+                        moved.add((x, y))
+            report += [("renamed", x, y) for x, y in moved]
+            report += [("removed", x, "") for x in a.keys() - b.keys() - {x for x, _ in moved}] + [("added", y, "") for y in b.keys() - a.keys() - {y for _, y in moved}]
+            named = {x for _, x, _ in report} | {y for _, _, y in report if y}
+            covered = lambda p: any(p[:k] in named for k, c in enumerate(p) if c == ".")
+            out |= {(new, kind, c, x, y) for c, x, y in report if not covered(x) and not (y and covered(y))}
+    return out
+
+
+def test_report_of_the_sample_table(spark):
+    from pathlib import Path
+
+    import pytest
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test tables here")
+    raw, manifest = spark.read.parquet(f"{folder}/raw_records.parquet"), spark.read.parquet(f"{folder}/manifest.parquet")
+    want = restated([tuple(r) for r in raw.select("file_id", "record_kind", "raw").collect()], sorted((r.stream_id, r.exported_at, r.file_id) for r in manifest.collect()))
+    got = rows(drift.schema_changes(raw, manifest))
+    assert len(want) > 20 and set(got) == want and len(got) == len(want)
