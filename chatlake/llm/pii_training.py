@@ -295,7 +295,7 @@ def known_words(fillers: list[str]) -> tuple[list[str], list[str]]:
     return sorted(w for w, n in words.items() if n >= 25), sorted(p for p, n in pairs.items() if n >= 8)
 
 
-def train(folder: str, steps: int = 3600, batch: int = 64, seed: int = 5, hidden: int = 32) -> None:
+def train(folder: str, steps: int = 6500, batch: int = 64, seed: int = 5, hidden: int = 32) -> None:
     fillers = sentences(folder)
     words, pairs = known_words(fillers)
     print(len(fillers), "unmarked sentences,", len(words), "words,", len(pairs), "pairs", flush=True)
