@@ -61,13 +61,17 @@ _CODE = re.compile(
     re.M | re.I,
 )
 _INLINE_CODE = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+)\1(?!`)")
+#: What begins a formula; ``$..$`` is matched whole, with guards against prices, and spans lines only where it holds a sign of a formula.
 _FORMULA = re.compile(
-    r"\\begin\{(?P<env>equation|align|gather|multline|eqnarray|displaymath|math)(?P<star>\*?)\}[\s\S]*?\\end\{(?P=env)(?P=star)\}"
-    r"|\\\[(?=[^\]\n]*[\\^_=+{}<>a-zA-Z])[\s\S]{1,2000}?\\\]"
-    r"|\\\((?:(?!\\\)).){1,500}\\\)"
-    r"|\$\$(?=[^\s$])[^$]{1,2000}\$\$"
-    r"|(?<![\\$\w])\$(?![\s$])(?=[^$\n]*[\\^_={}+*/<>|!()-]|[A-Za-z]\$)(?!\d[\d.,]*[\s-])[^$\n]{1,500}(?<![\s\\$])\$(?![\w$])"
+    r"\\begin\{(?P<env>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}"
+    r"|(?P<slashes>\\+)(?P<bracket>[\[(])"
+    r"|(?P<display>\$\$)(?!\$)"
+    r"|(?<![\\$\w])\$(?![\s$])(?=[^$\n]*[\\^_={}+*/<>|!()-]|[A-Za-z]\$)(?!\d[\d.,]*[\s-])[^$\n]+(?<![\s\\$])\$(?![\w$])"
+    r"|(?<![\\$\w])\$(?![\s$])(?=[^$]*[\\^_={}])(?!\d[\d.,]*[\s-])[^$\n]+(?:\n(?![ \t]*\n)[^$\n]*)+(?<![\s\\$])\$(?![\w$])"
 )
+_BRACKETS = {"[": (re.compile(r"(\\+)([\[\]])"), "]"), "(": (re.compile(r"(\\+)([()])"), ")")}
+#: Words between two signs such as price ranges ``$$`` and no sign of a formula.
+_PROSE = re.compile(r"\s[^\\^_={}+*/<>|0-9]*[^\W\d_]{2}[^\\^_={}+*/<>|0-9]*")
 _MATH_TAG = re.compile(r"<math>([\s\S]*?)</math>", re.I)
 
 # LaTeX, beyond code and formulas.
@@ -284,6 +288,33 @@ def _pipes(line: str) -> list[str]:
     return [c.strip() for c in line.strip().strip("|").split("|")]
 
 
+def _formula_end(text: str, m: re.Match, lacking: set[str]) -> int:
+    """Where the formula that ``m`` begins ends, -1 if it is none; ``lacking`` holds the ends that do not occur any more."""
+    begin = m.end()
+    if m["display"]:
+        end = text.find("$$", begin)
+        body = text[begin : max(end, begin)]
+        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+        own_line = not line.strip() and body.lstrip(" \t").startswith("\n")
+        return end + 2 if body.strip() and (own_line or not _PROSE.fullmatch(body)) else -1
+    if m["bracket"] and len(m["slashes"]) % 2:
+        sign, last = _BRACKETS[m["bracket"]]
+        for s in sign.finditer(text, begin):
+            if s[2] == last:
+                return s.end() if s.start() > begin or len(s[1]) > 1 else -1
+            if len(s[1]) % 2:  # begins again: the first was never closed
+                return -1
+        return -1
+    if not m["bracket"] and not m["env"]:
+        return begin
+    # The backslashes of the text are doubled, or this is a line break of LaTeX.
+    last = "\\\\" + _BRACKETS[m["bracket"]][1] if m["bracket"] else f"\\end{{{m['env']}}}"
+    end = -1 if last in lacking else text.find(last, begin)
+    if end < 0:
+        lacking.add(last)
+    return end + len(last) if end > begin or m["env"] and end == begin else -1
+
+
 class Rendering:
     """One text on its way to clean text; ``found`` collects the notations met."""
 
@@ -297,7 +328,7 @@ class Rendering:
         text = _CODE.sub(self.code, text)
         text = _INLINE_CODE.sub(lambda m: self.hit("markdown", self.kept.keep(m[2].strip())), text)
         text = _MATH_TAG.sub(lambda m: self.hit("wiki", self.kept.keep(f"${m[1].strip()}$")), text)
-        text = _FORMULA.sub(lambda m: self.hit("latex", self.kept.keep(m[0])), text)
+        text = self.formulas(text)
         text = self.latex(text)
         text = self.wiki(text)
         text = self.markdown(text)
@@ -326,6 +357,19 @@ class Rendering:
             return self.hit("wiki", self.kept.keep(f"```\n{body}\n```", True))
         return self.hit("html", "")  # scripts, styles and comments show nothing
 
+    def formulas(self, text: str) -> str:
+        """Formulas in LaTeX delimiters set aside, whatever their length, in one pass over ``text``."""
+        out, at, start = [], 0, 0
+        lacking: set[str] = set()
+        while m := _FORMULA.search(text, start):
+            end = _formula_end(text, m, lacking)
+            if end < 0:
+                start = m.end()
+                continue
+            out += [text[at : m.start()], self.hit("latex", self.kept.keep(text[m.start() : end]))]
+            at = start = end
+        return "".join(out) + text[at:]
+
     def latex(self, text: str) -> str:
         if "\\" not in text:
             return text

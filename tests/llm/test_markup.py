@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from conftest import rows
 
@@ -103,3 +105,25 @@ def test_found_and_clean(spark):
     clean = rows(markup.clean_parts(m.where("node_id <> 'f'")), "node_id", "part_no", "text")
     assert clean == sorted([("a", 0, "x"), ("a", 0, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", 0, "<b>x</b>"), ("c", 1, "plain"), ("c", 2, "$x^2$"), ("e", 0, "")], key=repr)
     assert markup.markup_found(m.limit(0)).count() == 0
+
+
+LONG = "a + b_1 " * 400
+
+
+@pytest.mark.parametrize("formula", ["$$ x^2 $$", "$$ x $$", "$$\nE = mc^2\n$$", "$$\n\\frac{a}{b} = \\sqrt{c}\n$$", "$$ y \\text{ if $x$} $$", "\\[\nE = mc^2\n\\]", "\\[ a \\\\[2pt] b \\]", "\\\\[ a \\\\]", "\\(a\n+ b\\)", "$x_1 +\n\\frac{a}{b}$", f"$${LONG}$$", f"\\[{LONG}\\]", f"\\({LONG}\\)", f"${LONG}+ c$"])
+def test_formulas_across_spaces_and_lines(formula):
+    text = f"so {formula} holds"
+    assert markup.render(text) == (text, ["latex"])
+    assert markup.render(formula) == (formula, ["latex"])
+
+
+@pytest.mark.parametrize("text", ["Sushi is $$ or, at noon, $$ again", "Sushi: $$\nPizza: $$", "costs $20\nand $19_x", "an open \\[ and no end", "an open $$ and no end"])
+def test_prices_and_open_delimiters_are_no_formulas(text):
+    assert markup.render(text) == (text, [])
+
+
+@pytest.mark.parametrize("piece", ["\\[", "\\(", "\\\\[", "$$ a ", "$a_\n b", "\\begin{align}"])
+def test_formula_scan_is_linear(piece):
+    began = time.process_time()
+    markup.Rendering().formulas(piece * 100_000)
+    assert time.process_time() - began < 5
