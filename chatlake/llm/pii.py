@@ -1,15 +1,16 @@
 """Problem 6: personal information in free text, as typed placeholders.
 
 Method: a character-level bidirectional LSTM with CRF transitions (``pii_model``), trained in
-numpy from labelled spans (``pii_training``). Text is cut into overlapping windows around the words,
-numbers and signs that training did not see in unmarked text; each window is decoded, and where
-windows overlap the tag from the window in which the character lies deeper is kept, so spans are
-reconciled over the whole text. Each span is then checked for the least its kind must hold.
+numpy from labelled spans (``pii_training``). Every text is cut whole into overlapping windows; each
+window is decoded, and where windows overlap the tag from the window in which the character lies
+deeper is kept, so spans are reconciled over the whole text. Each span is then checked for the
+least its kind must hold.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,13 +22,16 @@ from pyspark.sql import functions as F
 from chatlake.llm.pii_model import KINDS, TAGS, Tagger
 
 MODEL = Path(__file__).with_name("pii_model.npz")
-#: Characters of a window, of its overlap with the next, and of context around what calls for the tagger.
-WINDOW, OVERLAP, CONTEXT = 112, 48, 40
+#: Characters of a window and of its overlap with the next.
+WINDOW, OVERLAP = 112, 48
 #: Windows decoded together.
 BATCH = 384
 
-#: Words, numbers of three digits or more, and signs of addresses.
-_TOKEN = re.compile(r"[^\W\d_]+|\d{3,}|[@＠]")
+#: What stands before a lone word, and after it, where the word is a heading.
+_HEADING = re.compile(r"[ ]{0,3}#{1,6}[ \t]+")
+_UNDERLINED = re.compile(r"[ \t]*\r?\n[ ]{0,3}(?:=+|-{3,})[ \t]*(?:\r?\n|\Z)")
+#: Groups of digits in which telephone numbers are written and no other numbers, whatever the words around.
+_PHONE_GROUPS = re.compile(r"0[1-9](?P<sign>[ .-])\d\d(?:(?P=sign)\d\d){3}|9[1-9](?P<gap>[ .-])\d{3}(?:(?P=gap)\d\d){2}")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
 
@@ -50,49 +54,26 @@ class Finder:
     def __init__(self, model: bytes):
         self.tagger, more = Tagger.load(model)
         self.words = set(more["words"])
-        self.pairs = set(more["pairs"])
-        self.quiet: dict[str, bool] = {}
-
-    def calls(self, token: str) -> bool:
-        """Whether a token is none of those that training saw in unmarked text."""
-        known = self.quiet.get(token)
-        if known is None:
-            if ord(token[0]) >= 0x3000:
-                known = all(token[i : i + 2] in self.pairs for i in range(len(token) - 1)) and token[-1:] != "＠"
-            else:
-                known = token.lower() in self.words
-            if len(self.quiet) < 300_000:
-                self.quiet[token] = known
-        return not known
 
     def windows(self, text: str) -> list[tuple[int, int]]:
-        """Overlapping windows over the regions that call for the tagger."""
-        regions: list[list[int]] = []
-        for m in _TOKEN.finditer(text):
-            if self.calls(m[0]):
-                a, b = _word_start(text, max(0, m.start() - CONTEXT)), min(len(text), m.end() + CONTEXT)
-                if regions and a <= regions[-1][1]:
-                    regions[-1][1] = b
-                else:
-                    regions.append([a, b])
-        out = []
-        for a, b in regions:
-            while b - a > WINDOW:
-                out.append((a, a + WINDOW))
-                a = _word_start(text, a + WINDOW - OVERLAP)
-            out.append((a, b))
-        return out
+        """Overlapping windows over the whole text."""
+        out, a, b = [], 0, len(text)
+        while b - a > WINDOW:
+            out.append((a, a + WINDOW))
+            a = _word_start(text, a + WINDOW - OVERLAP)
+        return [*out, (a, b)] if text and not text.isspace() else []
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the spans of each text, in order."""
-        jobs = [(k, a, b) for k, t in enumerate(texts) for a, b in self.windows(t)]
-        order = sorted(range(len(jobs)), key=lambda j: jobs[j][2] - jobs[j][1])
-        decoded: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        cuts = {t: self.windows(t) for t in texts}
+        # Equal windows are decoded once.
+        order = sorted({t[a:b] for t, ws in cuts.items() for a, b in ws}, key=len)
+        decoded: dict[str, np.ndarray] = {}
         for at in range(0, len(order), BATCH):
-            some = [jobs[j] for j in order[at : at + BATCH]]
-            for (k, a, b), tags in zip(some, self.tagger.decode([texts[k][a:b] for k, a, b in some])):
-                decoded.setdefault(k, []).append((a, b, tags))
-        return [self.reconcile(t, decoded[k]) if k in decoded else [] for k, t in enumerate(texts)]
+            some = order[at : at + BATCH]
+            decoded.update(zip(some, self.tagger.decode(some)))
+        found = {t: self.reconcile(t, [(a, b, decoded[t[a:b]]) for a, b in ws]) for t, ws in cuts.items()}
+        return [found[t] for t in texts]
 
     def reconcile(self, text: str, windows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, str]]:
         windows.sort(key=lambda w: w[:2])
@@ -121,12 +102,16 @@ class Finder:
             start, kind, last = i, tag[2:], i
         if start >= 0:
             out.append((start, last + 1, kind))
+        out = [(a, b, "phone" if kind == "id_number" and _PHONE_GROUPS.fullmatch(unicodedata.normalize("NFKC", text[a:b])) else kind) for a, b, kind in out]
         return [s for s in out if plausible(text[s[0] : s[1]], s[2]) and (s[2] != "name" or self.whole_name(text, *s[:2]))]
 
     def whole_name(self, text: str, a: int, b: int) -> bool:
-        """Whether a name holds a word that is not common and cuts no word."""
+        """Whether a name cuts no word and is no heading of one common word."""
         cut = (a > 0 and _inside(text[a - 1]) and _inside(text[a])) or (b < len(text) and _inside(text[b - 1]) and _inside(text[b]))
-        return not cut and any(self.calls(m[0]) for m in _TOKEN.finditer(text[a:b]))
+        if cut or text[a:b].lower() not in self.words:
+            return not cut
+        before, after = text[text.rfind("\n", 0, a) + 1 : a], text[b : b + 200]
+        return not (_HEADING.fullmatch(before) and (not after or after[0] in "\r\n") or not before.strip() and _UNDERLINED.match(after))
 
 
 _AT = re.compile(r"[@＠]|\(at\)|\[at\]| at ", re.I)

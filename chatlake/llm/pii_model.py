@@ -72,6 +72,7 @@ class Tagger:
             self.p["Wh" + d] = init(hidden, 4 * hidden)
             self.p["b" + d] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]).astype(np.float32)
         self._codes: dict[str, int] = {}
+        self._table = np.full(0x110000, -1, np.int32)  # the same by code point
 
     def code(self, ch: str) -> int:
         got = self._codes.get(ch)
@@ -85,8 +86,13 @@ class Tagger:
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        code = self.code
-        return np.fromiter((code(c) for c in text), dtype=np.int32, count=len(text))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids = self._table[points]
+        if (ids < 0).any():
+            for p in set(points[ids < 0].tolist()):
+                self._table[p] = self.code(chr(p))
+            ids = self._table[points]
+        return ids
 
     # -- forward
 
@@ -133,15 +139,16 @@ class Tagger:
             x[: len(t), k] = self.encode(t)
         mask = np.arange(size)[:, None] < lengths[None, :]
         e = self.scores(x, mask)
-        trans = np.where(FORBIDDEN, -1e4, self.p["T"]).astype(np.float32)
+        trans = np.ascontiguousarray(np.where(FORBIDDEN, -1e4, self.p["T"]).astype(np.float32).T).T
         best = self.p["S"] + e[0] + np.where(STARTS_INSIDE, -1.0, 0.0).astype(np.float32)  # a window may begin inside a span
         n, k = best.shape
         back = np.empty((size, n, k), np.int8)
         rows = np.arange(n)
         for i in range(1, size):
-            s = best[:, :, None] + trans
-            back[i] = s.argmax(1)
-            new = s.max(1) + e[i]
+            s = best[:, None, :] + trans.T
+            at = s.argmax(2)
+            back[i] = at
+            new = np.take_along_axis(s, at[:, :, None], 2)[:, :, 0] + e[i]
             m = mask[i]
             best = new if m.all() else np.where(m[:, None], new, best)
         tags = np.zeros((size, n), np.int8)

@@ -77,3 +77,21 @@ def test_found_and_masked(spark):
     text = dict(((r.node_id, r.part_no), r.text) for r in pii.masked_parts(m).collect())
     assert text["a", 1] == "Call me on [PHONE]. Contact: [EMAIL]" and text["e", 0] == "" and text["a", 0] == "hello"
     assert pii.pii_found(m.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, kind, span", [("It is 06 12 34 56 78.", "phone", "06 12 34 56 78"), ("My name is Will Page.", "name", "Will Page"), ("My name is River Coach.", "name", "River Coach"), ("Put the rest before lunch. My name is Will Page.", "name", "Will Page")])
+def test_common_words_and_short_groups_are_read(finder, text, kind, span):
+    """Texts of common words and pairs of digits are read too."""
+    assert [(text[a:b], k) for a, b, k in finder.spans([text])[0]] == [(span, kind)]
+
+
+def test_every_character_is_read(finder):
+    text = "put the rest before lunch " * 40
+    read = set()
+    for a, b in finder.windows(text):
+        read.update(range(a, b))
+    assert read == set(range(len(text)))
+
+
+def test_headings_of_one_common_word_are_no_names(finder):
+    assert finder.spans(["Summary\n=======\n\nPut the rest before lunch.", "## Summary\n\nPut the rest before lunch."]) == [[], []]
