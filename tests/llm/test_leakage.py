@@ -56,3 +56,29 @@ def test_several_passes_agree(spark, monkeypatch):
     one = rows(leakage.leaked_items(docs, items))
     monkeypatch.setattr(leakage, "PASSAGES_A_PASS", 60)
     assert rows(leakage.leaked_items(docs, items)) == one and one
+
+
+def test_own_runs_longer_than_the_width(spark):
+    """A run may be an item's own though each of its passages of 12 words stands in another item."""
+    w = [f"w{i}" for i in range(16)]
+    items = spark.createDataFrame([(1, "start " + " ".join(w[:13]) + " end"), (2, "x " + " ".join(w[:12]) + " y"), (3, "z " + " ".join(w[1:13]) + " v")], "item_id bigint, prompt string")
+    docs = spark.createDataFrame([(1, "a " + " ".join(w[:13]) + " b"), (2, "a " + " ".join(w[:12]) + " b"), (3, "a " + " ".join(w[1:13]) + " b")], "doc_id bigint, text string")
+    assert rows(leakage.leaked_items(docs, items)) == [(1, 1)]
+
+
+def test_leaks_agree_with_brute_force(spark):
+    r = random.Random(6)
+    prompts = [[r.choice("ab") for _ in range(r.randint(3, 24))] for _ in range(14)]
+    texts = [r.choice("ab c".split() + prompts) for _ in range(30)]
+    texts = [[*"ba", *list(t)[r.randint(0, 3) :][: r.randint(3, 14)], *"ab"] for t in texts]
+
+    def holds(a, b):
+        return any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1))
+
+    want = set()
+    for i, p in enumerate(prompts):
+        own = [p[a:b] for a in range(len(p)) for b in range(a + 4, len(p) + 1) if not any(holds(q, p[a:b]) for j, q in enumerate(prompts) if j != i)]
+        want |= {(d, i) for d, t in enumerate(texts) if any(holds(t, x) for x in own)}
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(prompts)], "item_id bigint, prompt string")
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string")
+    assert want and rows(leakage.leaked_items(docs, items, 4)) == sorted(want, key=repr)
