@@ -113,7 +113,8 @@ _EMPHASIS = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*]
 _AUTOLINK = re.compile(r"<((?:https?|ftp)://[^\s<>]+)>")
 
 #: Characters or line starts without which a text holds no markup; the others never reach Python.
-ANY_MARK = r"(?m)[<&\\$`*_~#=\[{|]|''|^[ \t]*(?:[-+>;]|\d+[.)])[ \t]|-{3}"
+#: Wider than any pattern above: stand-in characters count, as they are taken out first, and digits of all scripts.
+ANY_MARK = r"(?m)[<&\\$`*_~#=\[{|\uE000\uE001]|''|^[ \t]*(?:[>;]|-[ \t]*-|(?:[-+]|\p{Nd}+[.)])[ \t])|-{3}"
 
 _KEEP = "\ue000{}\ue001"
 _KEPT = re.compile("\ue000(\\d+)\ue001")

@@ -1,7 +1,9 @@
+import random
 import time
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from chatlake.llm import markup
 
@@ -127,3 +129,20 @@ def test_formula_scan_is_linear(piece):
     began = time.process_time()
     markup.Rendering().formulas(piece * 100_000)
     assert time.process_time() - began < 5
+
+
+def test_prefilter_passes_all_that_is_reported(spark):
+    r = random.Random(3)
+    pieces = [">", ";", ":", "-", "--", "+", "*", "_", "=", "\n", "\n", " ", "\t", "a", "b c", "1.", "2)", "１.", "٣.", "'", "''", "~", "`", "#", "[", "]", "(", ")", "|", "\\", "$", "&amp;", "<b>", "\ue000", "\ue001", "\r\n"]
+    texts = [">quoted words\nreply", "x\n>y", ";Term\n:Definition", "-- -", "１. a\n２. b", "''a''"]
+    for _ in range(30_000):
+        texts.append("".join(r.choice(pieces if r.random() < 0.7 else pieces[:18]) for _ in range(r.randint(1, 9))))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    passed_over = [x.t for x in df.where(~F.col("t").rlike(markup.ANY_MARK)).collect()]
+    assert len(passed_over) > 500 and [t for t in passed_over if markup.render(t)[1] or markup.render(t)[0] != t] == []
+
+
+def test_quotes_and_definitions_without_blanks(spark):
+    m = spark.createDataFrame([("a", "text", [">quoted words\nreply"]), ("b", "text", [";Term\n:Definition"])], "node_id string, content_type string, parts array<string>")
+    assert rows(markup.markup_found(m)) == [("a", "markdown"), ("b", "wiki")]
+    assert rows(markup.clean_parts(m), "node_id", "text") == [("a", "> quoted words\nreply"), ("b", "Term\n  Definition")]
