@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.session import materialize
@@ -265,6 +265,29 @@ def hierarchy(mapping: DataFrame, parsed: DataFrame, with_path: bool = False, bl
 
 
 def descendants(labels: DataFrame) -> DataFrame:
-    """(conversation_id, node_id, descendant_id): each node below another, from labels with paths."""
+    """(conversation_id, node_id, descendant_id): each node below another, from labels with paths of ids without ``SLASH``."""
     up = labels.where("NOT cyclic AND depth > 0").select("conversation_id", F.col("node_id").alias("descendant_id"), F.explode(F.slice(F.split("path", SLASH), 1, F.col("depth").cast("int"))).alias("node_id"))
     return up.select("conversation_id", "node_id", "descendant_id")
+
+
+def _plain(id_: str) -> Column:
+    """An id without ``SLASH``, from which ``_own`` gives the id again."""
+    return F.expr(f"replace(replace({id_}, '%', '%25'), '{SLASH}', '%2F')").alias(id_)
+
+
+def _own(id_: str) -> Column:
+    return F.expr(f"replace(replace({id_}, '%2F', '{SLASH}'), '%25', '%')").alias(id_)
+
+
+def all_descendants(mapping: DataFrame, parsed: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The pairs (conversation_id, node_id, descendant_id), and (conversation_id, node_id, descendants) with the number for every node.
+
+    The ancestors of a node are read off its path, which the replay builds. Leaves, and nodes on or below a cycle, which have
+    no path, are in no pair as node_id; their number is 0.
+    """
+    links = thread_links(mapping, parsed).select("conversation_id", _plain("node_id"), _plain("parent_id"))
+    labels = materialize(label_forest(materialize(links, "links"), True, block_rows), "labels")
+    pairs = descendants(labels).select("conversation_id", _own("node_id"), _own("descendant_id"))
+    numbers = pairs.groupBy(*_KEY).agg(F.count("*").alias("descendants"))
+    every = labels.select("conversation_id", _own("node_id")).join(numbers, _KEY, "left")
+    return pairs, every.select(*_KEY, F.coalesce("descendants", F.lit(0)).alias("descendants"))

@@ -34,11 +34,14 @@ def p7_paths(spark, d):
 
 
 def p7_descendants(spark, d):
-    below = hierarchy.descendants(p7_paths(spark, d))
-    return below.groupBy("conversation_id", "node_id").agg(F.count("*").alias("descendants"))
+    return hierarchy.all_descendants(table(spark, d, "mapping"), table(spark, d, "parsed"))[0]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_table, p5_found, p5_items, p7_found, p7_paths, p7_descendants)}
+def p7_descendant_counts(spark, d):
+    return hierarchy.all_descendants(table(spark, d, "mapping"), table(spark, d, "parsed"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_table, p5_found, p5_items, p7_found, p7_paths, p7_descendants, p7_descendant_counts)}
 
 LINKS = """rows_ AS (
   SELECT conversation_id, node_id, parent AS named, NULL AS lister, true AS node FROM mapping

@@ -74,3 +74,26 @@ def test_links_of_odd_rows(spark):
     assert rows(got, "conversation_id", "node_id", "root_id", "depth") == sorted(want, key=repr)
     assert rows(hierarchy.descendants(got)) == [("c", "r", "a"), ("p", "m1", "m2")]
     assert hierarchy.hierarchy(mapping.limit(0), parsed.limit(0)).count() == 0
+
+
+def test_descendants_of_every_node(spark):
+    """Pairs with ids that hold slashes, deep threads in blocks, and a number for leaves and cyclic nodes."""
+    chain = [("c", f"n/{i}%2F", f"n/{i - 1}%2F" if i else None) for i in range(12)]
+    odd = [("c", "x", "y"), ("c", "y", "x"), ("c", "z", "y"), ("d", "only/one", None)]
+    mapping = spark.createDataFrame([(*x, None) for x in chain + odd], "conversation_id string, node_id string, parent string, children array<string>")
+    parsed = spark.createDataFrame([], "record_type string, conversation_id string, message_id string, parent_id string")
+    pairs = [("c", chain[i][1], chain[k][1]) for i in range(12) for k in range(i + 1, 12)]
+    numbers = [("c", chain[i][1], 11 - i) for i in range(12)] + [(c, n, 0) for c, n, _ in odd]
+    for block in (1000, 5):
+        got, counted = hierarchy.all_descendants(mapping, parsed, block)
+        assert rows(got) == sorted(pairs, key=repr)
+        assert rows(counted) == sorted(numbers, key=repr)
+
+
+def test_the_query_on_descendants_gives_pairs(spark, tmp_path):
+    from chatlake.plans import general
+
+    spark.createDataFrame([("c", "r", None, ["a"]), ("c", "a", "r", None)], "conversation_id string, node_id string, parent string, children array<string>").write.parquet(f"{tmp_path}/mapping.parquet")
+    spark.createDataFrame([], "record_type string, conversation_id string, message_id string, parent_id string").write.parquet(f"{tmp_path}/parsed.parquet")
+    assert rows(general.QUERIES["p7_descendants"](spark, str(tmp_path)), "conversation_id", "node_id", "descendant_id") == [("c", "r", "a")]
+    assert rows(general.QUERIES["p7_descendant_counts"](spark, str(tmp_path))) == [("c", "a", 0), ("c", "r", 1)]
