@@ -47,7 +47,7 @@ NO_INK = "".join(map(chr, (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C
 #: Line breaks; CR LF is one.
 BREAKS = "".join(map(chr, (0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)))
 #: Characters a JVM test may pass over: with only these, a text is in the form but for its edges.
-STABLE = r"^[\x20-\x7E\n]*$"
+STABLE = r"^[\x20-\x7E\n]*\z"
 
 _LINE_ENDS = re.compile(r"(?<! ) +(?=\n)")
 

@@ -3,6 +3,7 @@ import unicodedata
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from chatlake.llm import lookalike as look
 
@@ -61,3 +62,9 @@ def test_pairs(spark):
     assert look.lookalike_pairs(m.limit(0)).count() == 0
     forms = {(r.node_id, r.part_no): r.text for r in look.canonical_parts(m).collect()}
     assert forms["a", 0] == forms["b", 0] and ("i", 0) not in forms and forms["e", 0] == ""
+
+
+def test_line_ends_at_the_end_of_a_text(spark):
+    texts = [t + e for t in ("hello", "a \nb") for e in ("", "\r", "\r\n", "\x85", " ", " ", "\n")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", look.canonical_column(F.col("t")).alias("form"))
+    assert [(r.t, r.form) for r in df.collect()] == [(t, look.canonical(t)) for t in texts]
