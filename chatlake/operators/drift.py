@@ -319,19 +319,20 @@ def renames(changes: DataFrame, target: Target = RECORDS) -> dict[str, tuple[str
     for r in pairs:
         to.setdefault(r["field"], set()).add(r["new_field"])
         to.setdefault(r["new_field"], set()).add(r["field"])
+    # A chain in which each rename is taken once lengthens a path by so many steps at most; circles of renames end there.
+    longer = sum(abs(r["field"].count(".") - r["new_field"].count(".")) for r in pairs)
     out = {}
     for column, (path, _) in target.columns.items():
         names, todo = {path}, [path]
         while todo:
-            here = todo.pop()
+            steps = todo.pop().split(".")
             # A rename of an object renames the paths below it.
-            for a, others in to.items():
-                if here == a or here.startswith(a + "."):
-                    for b in others:
-                        other = b + here[len(a) :]
-                        if other not in names and len(names) < 1000:
-                            names.add(other)
-                            todo.append(other)
+            for k in range(1, len(steps) + 1):
+                for b in to.get(".".join(steps[:k]), ()):
+                    other = ".".join([b, *steps[k:]])
+                    if other not in names and other.count(".") <= path.count(".") + longer:
+                        names.add(other)
+                        todo.append(other)
         if len(names) > 1:
             out[column] = tuple(sorted(names - {path}))
     return out

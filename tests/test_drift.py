@@ -138,3 +138,11 @@ def test_report_of_the_sample_table(spark):
     want = restated([tuple(r) for r in raw.select("file_id", "record_kind", "raw").collect()], sorted((r.stream_id, r.exported_at, r.file_id) for r in manifest.collect()))
     got = rows(drift.schema_changes(raw, manifest))
     assert len(want) > 20 and set(got) == want and len(got) == len(want)
+
+
+def test_no_rename_is_dropped(spark):
+    """More names than a thousand, and an object that moves into itself."""
+    path = drift.RECORDS.columns["content_type"][0]
+    many = [("renamed", path, f"n{i}") for i in range(1500)] + [("renamed", "n1499", "o.p"), ("renamed", "o", "o.q")]
+    names = drift.renames(spark.createDataFrame(many, "change string, field string, new_field string"))["content_type"]
+    assert {f"n{i}" for i in range(1500)} | {"o.p", "o.q.p"} <= set(names)
