@@ -3,8 +3,9 @@
 Method: the rows that one export file holds of a thread are a fragment. Fragments that overlap
 are assembled: a fragment follows another if a suffix of the one equals a prefix of the other,
 by count and combined hash of the messages in the overlap. Each fragment has at most one
-successor in the overlap graph, so paths are unambiguous and are merged into contigs; what a
-thread states to hold and no contig has is a gap, and threads with gaps are dropped.
+successor in the overlap graph, so paths are unambiguous and are merged into contigs. Contigs
+describe a thread and do not decide: a gap is what a thread states to hold beyond its distinct
+messages, and threads with gaps are dropped.
 
 All steps are aggregates with map-side combination over (thread, file) or (thread, message), so
 a thread with a large share of all rows is spread over tasks.
