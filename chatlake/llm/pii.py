@@ -25,13 +25,11 @@ MODEL = Path(__file__).with_name("pii_model.npz")
 #: Characters of a window and of its overlap with the next.
 WINDOW, OVERLAP = 112, 48
 #: Windows decoded together.
-BATCH = 384
+BATCH = 512
 
-#: What stands before a lone word, and after it, where the word is a heading.
-_HEADING = re.compile(r"[ ]{0,3}#{1,6}[ \t]+")
-_UNDERLINED = re.compile(r"[ \t]*\r?\n[ ]{0,3}(?:=+|-{3,})[ \t]*(?:\r?\n|\Z)")
-#: Groups of digits in which telephone numbers are written and no other numbers, whatever the words around.
-_PHONE_GROUPS = re.compile(r"0[1-9](?P<sign>[ .-])\d\d(?:(?P=sign)\d\d){3}|9[1-9](?P<gap>[ .-])\d{3}(?:(?P=gap)\d\d){2}")
+#: Groups of digits in which telephone numbers are written and no numbers of papers, and the other way about, whatever the words around.
+_PHONE_GROUPS = re.compile(r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}|0[1-9](?P<sign>[ .-])\d\d(?:(?P=sign)\d\d){3}|9[1-9](?P<gap>[ .-])\d{3}(?:(?P=gap)\d\d){2}")
+_PAPER_GROUPS = re.compile(r"\d{3}-\d{2}-\d{4}")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
 
@@ -48,12 +46,19 @@ def _word_start(text: str, at: int, most: int = 24) -> int:
     return at
 
 
+def by_groups(span: str, kind: str) -> str:
+    """Kind of a number by the groups it is written in, where these belong to one kind only."""
+    if kind not in ("phone", "id_number"):
+        return kind
+    plain = "".join("-" if unicodedata.category(c) == "Pd" else c for c in unicodedata.normalize("NFKC", span))
+    return "phone" if _PHONE_GROUPS.fullmatch(plain) else "id_number" if _PAPER_GROUPS.fullmatch(plain) else kind
+
+
 class Finder:
     """Finds spans with one trained tagger."""
 
     def __init__(self, model: bytes):
-        self.tagger, more = Tagger.load(model)
-        self.words = set(more["words"])
+        self.tagger = Tagger.load(model)
 
     def windows(self, text: str) -> list[tuple[int, int]]:
         """Overlapping windows over the whole text."""
@@ -102,18 +107,21 @@ class Finder:
             start, kind, last = i, tag[2:], i
         if start >= 0:
             out.append((start, last + 1, kind))
-        out = [(a, b, "phone" if kind == "id_number" and _PHONE_GROUPS.fullmatch(unicodedata.normalize("NFKC", text[a:b])) else kind) for a, b, kind in out]
-        return [s for s in out if plausible(text[s[0] : s[1]], s[2]) and (s[2] != "name" or self.whole_name(text, *s[:2]))]
+        out = [(a, b, by_groups(text[a:b], kind)) for a, b, kind in out]
+        out = [s for s in out if plausible(text[s[0] : s[1]], s[2]) and (s[2] != "name" or self.whole_name(text, *s[:2]))]
+        if any(kind in ("phone", "id_number") for _, _, kind in out):
+            taken = [m.span() for m in _OTHER_NUMBER.finditer(text)]
+            out = [s for s in out if s[2] not in ("phone", "id_number") or not any(a <= s[0] and s[1] <= b for a, b in taken)]
+        return out
 
-    def whole_name(self, text: str, a: int, b: int) -> bool:
-        """Whether a name cuts no word and is no heading of one common word."""
-        cut = (a > 0 and _inside(text[a - 1]) and _inside(text[a])) or (b < len(text) and _inside(text[b - 1]) and _inside(text[b]))
-        if cut or text[a:b].lower() not in self.words:
-            return not cut
-        before, after = text[text.rfind("\n", 0, a) + 1 : a], text[b : b + 200]
-        return not (_HEADING.fullmatch(before) and (not after or after[0] in "\r\n") or not before.strip() and _UNDERLINED.match(after))
+    @staticmethod
+    def whole_name(text: str, a: int, b: int) -> bool:
+        """Whether a name cuts no word."""
+        return not ((a > 0 and _inside(text[a - 1]) and _inside(text[a])) or (b < len(text) and _inside(text[b - 1]) and _inside(text[b])))
 
 
+#: Numbers of hosts and of bank accounts, no part of which is a telephone number or a number of papers.
+_OTHER_NUMBER = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)|\b[A-Z]{2}\d\d(?: ?[A-Z\d]{4}){3,7}(?: ?[A-Z\d]{1,3})?\b")
 _AT = re.compile(r"[@＠]|\(at\)|\[at\]| at ", re.I)
 
 

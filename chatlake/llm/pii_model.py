@@ -96,8 +96,8 @@ class Tagger:
 
     # -- forward
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """States of one direction over time-major ids x (T, B); gates order: input, forget, output, candidate."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str):
+        """States of one direction and what the gradient needs, over time-major ids x (T, B); gates order: input, forget, output, candidate."""
         h_ = self.hidden
         table = self.p["E"] @ self.p["Wx" + d] + self.p["b" + d]
         wh = self.p["Wh" + d]
@@ -114,38 +114,81 @@ class Tagger:
             tc = np.tanh(c2)
             h2 = g[:, 2 * h_ :] * tc
             m = mask[i][:, None]
-            if keep:
-                tape.append((i, h, c, g, a, tc, m))
+            tape.append((i, h, c, g, a, tc, m))
             c = np.where(m, c2, c) if not m.all() else c2
             h = np.where(m, h2, h) if not m.all() else h2
             out[i] = h
         return out, tape
 
-    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Tag scores (T, B, K)."""
-        f, _ = self._run(x, mask, "f", False)
-        b, _ = self._run(x, mask, "b", False)
-        h = self.hidden
-        return f @ self.p["V"][:h] + b @ self.p["V"][h:] + self.p["c"]
+    def _states(self, x: np.ndarray, active: np.ndarray, d: str) -> np.ndarray:
+        """States of one direction without a tape; columns of ``x`` in order of falling length, ``active`` of them at each time."""
+        h_ = self.hidden
+        # A sigmoid is a tanh of half the argument, so one tanh does for all gates.
+        half = np.concatenate([np.full(3 * h_, 0.5), np.ones(h_)]).astype(np.float32)
+        table = (self.p["E"] @ self.p["Wx" + d] + self.p["b" + d]) * half
+        wh = self.p["Wh" + d] * half
+        t, b = x.shape
+        h, c = np.zeros((b, h_), np.float32), np.zeros((b, h_), np.float32)
+        out = np.zeros((t, b, h_), np.float32)
+        for i in range(t) if d == "f" else range(t - 1, -1, -1):
+            n = active[i]
+            z = table[x[i, :n]]
+            z += h[:n] @ wh
+            np.tanh(z, out=z)
+            g = z[:, : 3 * h_]
+            g *= 0.5
+            g += 0.5
+            cell = c[:n]
+            cell *= g[:, h_ : 2 * h_]
+            cell += g[:, :h_] * z[:, 3 * h_ :]
+            np.multiply(np.tanh(cell), g[:, 2 * h_ :], out=h[:n])
+            out[i, :n] = h[:n]
+        return out
 
     def decode(self, texts: list[str]) -> list[np.ndarray]:
-        """Best tag sequence of each text by Viterbi; texts of like length are best passed together."""
+        """Best tag sequence of each text by Viterbi; texts of like length are best passed together.
+
+        A text whose scores leave no tag a chance against "outside", whatever the transitions around it, has none, and is
+        not searched: for such texts the search gives the same.
+        """
         if not texts:
             return []
-        size = max(map(len, texts))
-        x = np.zeros((size, len(texts)), np.int32)
         lengths = np.array([len(t) for t in texts])
-        for k, t in enumerate(texts):
-            x[: len(t), k] = self.encode(t)
-        mask = np.arange(size)[:, None] < lengths[None, :]
-        e = self.scores(x, mask)
-        trans = np.ascontiguousarray(np.where(FORBIDDEN, -1e4, self.p["T"]).astype(np.float32).T).T
-        best = self.p["S"] + e[0] + np.where(STARTS_INSIDE, -1.0, 0.0).astype(np.float32)  # a window may begin inside a span
-        n, k = best.shape
+        order = np.argsort(-lengths, kind="stable")
+        sizes = lengths[order]
+        t = max(int(sizes[0]), 1)
+        x = np.zeros((t, len(texts)), np.int32)
+        for k, j in enumerate(order.tolist()):
+            x[: lengths[j], k] = self.encode(texts[j])
+        active = np.searchsorted(-sizes, -np.arange(t), side="left")
+        h = self.hidden
+        e = self._states(x, active, "f") @ self.p["V"][:h]
+        e += self._states(x, active, "b") @ self.p["V"][h:]
+        e += self.p["c"]
+        mask = np.arange(t)[:, None] < sizes[None, :]
+        trans = np.where(FORBIDDEN, -1e4, self.p["T"]).astype(np.float32)
+        start = (self.p["S"] + np.where(STARTS_INSIDE, -1.0, 0.0)).astype(np.float32)  # a window may begin inside a span
+        # What a tag can gain over "outside": by the best way to it, and by the best way out.
+        gain = np.maximum(trans.max(0) - trans[0, 0], start - start[0]) + max(0.0, float((trans[:, 0] - trans[0, 0]).max()))
+        chance = ((e[:, :, 1:] + gain[1:]).max(2) >= e[:, :, 0]) & mask
+        searched = np.flatnonzero(chance.any(0))
+        out = [np.zeros(n, np.int8) for n in lengths]
+        if len(searched):
+            tags = self._viterbi(e[:, searched], mask[:, searched], trans, start)
+            for k, c in enumerate(searched.tolist()):
+                j = int(order[c])
+                out[j] = tags[: lengths[j], k]
+        return out
+
+    @staticmethod
+    def _viterbi(e: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+        size, n, k = e.shape
+        best = start + e[0]
         back = np.empty((size, n, k), np.int8)
         rows = np.arange(n)
+        after = np.ascontiguousarray(trans.T)
         for i in range(1, size):
-            s = best[:, None, :] + trans.T
+            s = best[:, None, :] + after
             at = s.argmax(2)
             back[i] = at
             new = np.take_along_axis(s, at[:, :, None], 2)[:, :, 0] + e[i]
@@ -158,15 +201,15 @@ class Tagger:
             tags[i] = np.where(inside, last, 0)
             if i:
                 last = np.where(inside, back[i, rows, last], last)
-        return [tags[: lengths[j], j] for j in range(n)]
+        return tags
 
     # -- training
 
     def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood per character and its gradients, for time-major ids and tags."""
         p, h_ = self.p, self.hidden
-        f, tape_f = self._run(x, mask, "f", True)
-        b, tape_b = self._run(x, mask, "b", True)
+        f, tape_f = self._run(x, mask, "f")
+        b, tape_b = self._run(x, mask, "b")
         e = f @ p["V"][:h_] + b @ p["V"][h_:] + p["c"]
         t, n, k = e.shape
         rows = np.arange(n)
@@ -231,17 +274,17 @@ class Tagger:
 
     # -- storage
 
-    def dump(self, **more) -> bytes:
+    def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez_compressed(out, alphabet=np.array(self.alphabet[len(CLASSES) :]), hidden=self.hidden, **{"p_" + k: v.astype(np.float16) for k, v in self.p.items()}, **more)
+        np.savez_compressed(out, alphabet=np.array(self.alphabet[len(CLASSES) :]), hidden=self.hidden, **{"p_" + k: v.astype(np.float16) for k, v in self.p.items()})
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> tuple[Tagger, dict[str, np.ndarray]]:
+    def load(cls, data: bytes) -> Tagger:
         z = np.load(io.BytesIO(data))
         t = cls(list(z["alphabet"]), int(z["hidden"]), z["p_E"].shape[1])
         t.p = {k[2:]: z[k].astype(np.float32) for k in z.files if k.startswith("p_")}
-        return t, {k: z[k] for k in z.files if k not in ("alphabet", "hidden") and not k.startswith("p_")}
+        return t
 
 
 class Adam:
