@@ -1,14 +1,18 @@
 """Problem 3: ordered conversations from message rows.
 
-Method: the rows that one export file holds of a thread are a fragment. Fragments that overlap
-are assembled: a fragment follows another if a suffix of the one equals a prefix of the other,
-by count and combined hash of the messages in the overlap. Each fragment has at most one
-successor in the overlap graph, so paths are unambiguous and are merged into contigs. Contigs
-describe a thread and do not decide: a gap is what a thread states to hold beyond its distinct
-messages, and threads with gaps are dropped.
+Method: the rows that one export file holds of a thread are a fragment, in order of (ts, message_id).
+The overlap graph links a fragment to the one that reaches furthest among those that begin before
+it: the suffix of the one must equal the prefix of the other (or, inside it, the whole of the
+other), by count and combined hash of the messages. Verified links are merged into contigs, which
+add what a fragment has beyond its overlap; where messages of two overlapping fragments differ,
+their paths are rivals, the link is ambiguous and the path ends there. The number of messages of a
+thread is that of its contigs - of threads with rival paths, that of its distinct messages - and
+what it states to hold beyond them is a gap, for which it is dropped. A break between contigs
+alone is none: TESTDATA.md defines a gap by the stated number.
 
 All steps are aggregates with map-side combination over (thread, file) or (thread, message), so
-a thread with a large share of all rows is spread over tasks.
+a thread with a large share of all rows is spread over tasks; only its fragments, one row per
+file, are brought together.
 """
 
 from __future__ import annotations
@@ -38,58 +42,85 @@ def messages(parsed: DataFrame) -> DataFrame:
     return rows.select("conversation_id", "message_id", "file_id", role.alias("speaker"), ts.alias("ts"), F.coalesce(F.col("text").rlike(VISIBLE), F.lit(False)).alias("visible"), "text")
 
 
-def contigs(rows: DataFrame) -> DataFrame:
-    """(conversation_id, file_id, contig, follows): the fragments of each thread in order, with the contig they merge into.
+def fragments(rows: DataFrame) -> DataFrame:
+    """One row per (conversation_id, file_id): its range of (ts, message_id), its number of messages, and the fragment that reaches furthest among those before it.
 
-    ``rows`` are distinct (conversation_id, file_id, ts, message_id). A fragment inside another joins its contig; one whose
-    prefix equals the suffix of the furthest fragment so far follows it; any other begins a new contig.
+    ``rows`` are distinct (conversation_id, file_id, ts, message_id).
     """
     mark = F.struct("ts", "message_id")
-    code = F.xxhash64("message_id")
-    pieces = rows.groupBy("conversation_id", "file_id").agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
+    pieces = rows.groupBy("conversation_id", "file_id").agg(F.min(mark).alias("first"), F.max(mark).alias("last"), F.count("*").alias("n"))
     w = Window.partitionBy("conversation_id").orderBy(F.col("first"), F.col("last").desc(), "file_id")
-    # The fragment that reaches furthest among those before; a thread has one row per file here.
-    pieces = pieces.withColumn("ahead", F.max(F.struct("last", "file_id")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    pieces = materialize(pieces.select("conversation_id", "file_id", "first", "last", F.col("ahead.last").alias("reach"), F.col("ahead.file_id").alias("ahead_id")), "fragments")
-    # Overlap of each fragment (its prefix) with the one ahead (its suffix): counts and combined hashes of both sides.
-    links = pieces.where("reach IS NOT NULL AND reach >= first")
-    own = rows.join(links, ["conversation_id", "file_id"]).where(mark <= F.col("reach")).groupBy("conversation_id", "file_id").agg(F.count("*").alias("n_own"), F.bit_xor(code).alias("h_own"))
-    other = links.select("conversation_id", F.col("file_id").alias("of"), F.col("ahead_id").alias("file_id"), "first", "last")
-    theirs = rows.join(other, ["conversation_id", "file_id"]).where((mark >= F.col("first")) & (mark <= F.col("last"))).groupBy("conversation_id", F.col("of").alias("file_id")).agg(F.count("*").alias("n_other"), F.bit_xor(code).alias("h_other"))
-    matched = own.join(theirs, ["conversation_id", "file_id"]).where("n_own = n_other AND h_own = h_other").select("conversation_id", "file_id", F.lit(True).alias("overlaps"))
-    merged = pieces.join(matched, ["conversation_id", "file_id"], "left").withColumn("follows", F.when(F.col("overlaps"), F.col("ahead_id")))
-    number = F.sum(F.when(F.col("overlaps"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return merged.select("conversation_id", "file_id", number.cast("int").alias("contig"), "follows")
+    ahead = F.max(F.struct("last", "file_id")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumns({"ahead": ahead, "place": F.row_number().over(w)})
+    return pieces.select("conversation_id", "file_id", "place", "first", "last", "n", F.col("ahead.last").alias("reach"), F.col("ahead.file_id").alias("ahead_id"))
+
+
+def overlap_graph(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``shared``, the messages of a verified overlap with the fragment ahead, and ``rival``, whether the two differ where they overlap.
+
+    Both sides of an overlap are counted and their hashes combined in one pass over the rows of the two fragments.
+    """
+    mark, code = F.struct("ts", "message_id"), F.xxhash64("ts", "message_id")
+    links = pieces.where("reach IS NOT NULL AND reach >= first").select("conversation_id", F.col("file_id").alias("of"), "ahead_id", "first", F.least("last", "reach").alias("end"))
+    side = F.explode(F.array(F.struct(F.col("of").alias("file_id"), F.lit(True).alias("own")), F.struct(F.col("ahead_id").alias("file_id"), F.lit(False).alias("own"))))
+    sides = links.select("conversation_id", "of", "first", "end", side.alias("s")).select("conversation_id", "of", "first", "end", "s.*")
+    met = rows.join(sides, ["conversation_id", "file_id"]).where((mark >= F.col("first")) & (mark <= F.col("end")))
+    sums = met.groupBy("conversation_id", F.col("of").alias("file_id")).agg(
+        F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_other"), F.bit_xor(F.when(F.col("own"), code)).alias("h_own"), F.bit_xor(F.when(~F.col("own"), code)).alias("h_other")
+    )
+    same = F.coalesce((F.col("n_own") == F.col("n_other")) & (F.col("h_own") == F.col("h_other")), F.lit(False))
+    judged = sums.select("conversation_id", "file_id", F.when(same, F.col("n_own")).alias("shared"), (~same).alias("rival"))
+    return pieces.join(judged, ["conversation_id", "file_id"], "left")
+
+
+def contigs(rows: DataFrame) -> DataFrame:
+    """(conversation_id, file_id, place, contig, follows, added, rival): the fragments of each thread in order, with the contig they merge into.
+
+    A fragment with a verified overlap ``follows`` the one ahead and adds ``added`` messages to its contig; any other begins a new one.
+    """
+    pieces = materialize(fragments(rows), "fragments")
+    graph = overlap_graph(rows, pieces)
+    number = F.sum(F.when(F.col("shared").isNotNull(), 0).otherwise(1)).over(Window.partitionBy("conversation_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return graph.select(
+        "conversation_id", "file_id", "place", number.cast("int").alias("contig"), F.when(F.col("shared").isNotNull(), F.col("ahead_id")).alias("follows"),
+        (F.col("n") - F.coalesce("shared", F.lit(0))).alias("added"), F.coalesce("rival", F.lit(False)).alias("rival"),
+    )
 
 
 def assembled(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages once each, and one row per thread that says whether and why it is dropped.
 
-    Messages: conversation_id, message_id, ts, speaker, visible. Copies of a message_id count once (the smallest of differing
-    copies); rows with a null message_id count as one message. Threads: counts of messages, fragments and contigs, the largest
-    stated message_count, ``gap``, ``bad``, ``first``, ``last`` and ``dropped``. Headers alone make a thread without messages.
+    Messages: conversation_id, message_id, ts, speaker, visible, files. Copies of a message_id count once (the smallest of
+    differing copies); rows with a null message_id count as one message; a null file_id is a file of its own. Threads: counts of
+    messages, fragments, contigs and rival overlaps, the largest stated message_count, ``gap``, ``bad``,
+    ``first``, ``last`` and ``dropped``. Headers alone make a thread without messages.
     """
     rows = messages(parsed)
-    found = materialize(rows.groupBy("conversation_id", "message_id").agg(F.min(F.struct("ts", "speaker", "visible")).alias("m"), F.collect_set("file_id").alias("files")).select("conversation_id", "message_id", "m.*", "files"), "messages")
+    best = F.min(F.struct("ts", "speaker", "visible"))
+    found = rows.groupBy("conversation_id", "message_id").agg(best.alias("m"), F.collect_set(F.coalesce("file_id", F.lit(-1))).alias("files"))
+    found = materialize(found.select("conversation_id", "message_id", "m.*", "files"), "messages")
     pieces = contigs(found.select("conversation_id", F.explode("files").alias("file_id"), "ts", "message_id"))
-    shape = pieces.groupBy("conversation_id").agg(F.count("*").alias("fragments"), F.max("contig").alias("contigs"))
+    shape = materialize(pieces.groupBy("conversation_id").agg(F.count("*").alias("fragments"), F.max("contig").alias("contigs"), F.count_if("rival").alias("rivals"), F.sum("added").alias("merged")), "threads")
     at = F.struct("ts", "message_id")
     said = F.col("speaker").isin("user", "assistant") & F.col("visible")
     bad = F.col("ts").isNull() | (F.col("ts") <= 0) | F.col("speaker").isNull() | ~F.col("speaker").isin(*SPEAKERS)
     sums = found.groupBy("conversation_id").agg(
-        F.count("*").alias("messages"),
         F.sum(bad.cast("int")).alias("bad"),
         F.min_by(F.when(said, F.col("speaker")), F.when(said, at)).alias("first"),
         F.max_by(F.when(said, F.col("speaker")), F.when(said, at)).alias("last"),
     )
+    # Rival paths hold some messages twice: there the distinct ones are counted.
+    unclear = shape.where("rivals > 0").select("conversation_id")
+    counted = found.join(unclear, "conversation_id", "left_semi").groupBy("conversation_id").agg(F.count("*").alias("distinct"))
     stated = parsed.where("conversation_id IS NOT NULL").groupBy("conversation_id").agg(F.max(F.when(F.col("record_type") == "thread", F.col("message_count"))).alias("stated"))
-    threads = stated.join(sums, "conversation_id", "left").join(shape, "conversation_id", "left")
-    count = F.coalesce("messages", F.lit(0))
+    threads = stated.join(sums, "conversation_id", "left").join(shape, "conversation_id", "left").join(counted, "conversation_id", "left")
+    count = F.coalesce("distinct", "merged", F.lit(0))
     threads = threads.select(
         "conversation_id",
         count.alias("messages"),
         F.coalesce("fragments", F.lit(0)).alias("fragments"),
         F.coalesce("contigs", F.lit(0)).alias("contigs"),
+        F.coalesce("rivals", F.lit(0)).alias("rivals"),
         "stated",
         F.greatest(F.coalesce(F.col("stated") - count, F.lit(0)), F.lit(0)).alias("gap"),
         F.coalesce("bad", F.lit(0)).alias("bad"),
@@ -108,6 +139,6 @@ def turns(parsed: DataFrame) -> DataFrame:
     """(conversation_id, turn, message_id, ts, speaker, text) of the threads that are kept, turns from 1 in order of (ts, message_id)."""
     found, threads = assembled(parsed)
     kept = threads.where("NOT dropped").select("conversation_id")
-    texts = messages(parsed).groupBy("conversation_id", "message_id").agg(F.min_by("text", F.struct("ts", "speaker", "visible")).alias("text"))
+    texts = messages(parsed).groupBy("conversation_id", "message_id").agg(F.min(F.struct("ts", "speaker", "visible", "text"))["text"].alias("text"))
     rows = found.drop("files", "visible").join(kept, "conversation_id", "left_semi").join(texts, ["conversation_id", "message_id"], "left")
     return numbered(rows, ["conversation_id"], [F.col("ts").asc(), F.col("message_id").asc()], "turn").select("conversation_id", "turn", "message_id", "ts", "speaker", "text")
