@@ -4,7 +4,7 @@ Method: rescue-column ingestion. Every line is read against a target schema; wha
 does not know, or what does not cast, is kept in a rescue column by its path. Fields that are
 approved under another name are promoted and the rescued values replayed into the typed columns.
 The change report compares the fields of each file, typed or rescued, with those of the file
-before it in its stream.
+before it in its stream; it reads the same rescued lines as the table, so each line is parsed once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.session import broadcast_if_small, materialize
@@ -142,10 +142,11 @@ def paths_of(target: Target) -> dict[str, tuple[str, str]]:
     return by_path
 
 
-def enforce(record: dict, by_path: dict[str, tuple[str, str]]) -> tuple[dict, dict[str, str], dict[str, str]]:
-    """Column values of a record, the JSON texts they came from by path, and the rescued fields by path."""
-    filled, typed, rescued = {}, {}, {}
+def enforce(record: dict, by_path: dict[str, tuple[str, str]]) -> tuple[dict, dict[str, str], dict[str, str], str]:
+    """Column values of a record, the JSON texts they came from by path, the rescued fields by path, and the record's shape."""
+    filled, typed, rescued, shape = {}, {}, {}, []
     for path, value in fields_of(record):
+        shape.append([path, kind_of(value)])
         to = by_path.get(path)
         got = cast(value, to[1]) if to else None
         if got is not None and to[0] not in filled:
@@ -153,20 +154,21 @@ def enforce(record: dict, by_path: dict[str, tuple[str, str]]) -> tuple[dict, di
             typed[path] = canonical(value)
         elif not isinstance(value, dict) or not value:
             rescued[path] = canonical(value)
-    return filled, typed, rescued
+    return filled, typed, rescued, json.dumps(shape, ensure_ascii=False)
 
 
 def rescue(raw: DataFrame, target: Target = RECORDS) -> DataFrame:
     """Each line of ``raw`` (file_id, line_no, record_kind, raw) once more as typed columns and ``rescued``.
 
-    ``rescued`` maps the path of every field that fills no column - unknown, or not castable - to its JSON text; fields
-    inside a rescued object are part of that text. ``typed`` maps the paths that fill columns to the JSON they came from.
-    Lines that are not a JSON object have ``valid`` false and nothing else. Repeated lines stay repeated.
+    ``rescued`` maps the path of every field that fills no column - unknown, or not castable - to its JSON text; objects are
+    taken apart. ``typed`` maps the paths that fill columns to the JSON they came from. ``shape`` is a JSON array of the line's
+    fields, objects included, with their types; few shapes cover many lines. Lines that are not a JSON object have ``valid``
+    false and nothing else. Repeated lines stay repeated.
     """
     names = list(target.columns)
-    schema = "file_id bigint, line_no int, record_kind string, valid boolean, " + ", ".join(f"{c} {_SPARK_TYPES[k]}" for c, (_, k) in target.columns.items()) + ", typed map<string,string>, rescued map<string,string>"
+    schema = "file_id bigint, line_no int, record_kind string, valid boolean, " + ", ".join(f"{c} {_SPARK_TYPES[k]}" for c, (_, k) in target.columns.items()) + ", typed map<string,string>, rescued map<string,string>, shape string"
     arrow = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "strings": pa.list_(pa.string())}
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), *(arrow[k] for _, k in target.columns.values()), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string())]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), *(arrow[k] for _, k in target.columns.values()), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string()), pa.string()]
     by_path = paths_of(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +177,10 @@ def rescue(raw: DataFrame, target: Target = RECORDS) -> DataFrame:
             for file_id, line_no, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
                 record = record_of(text)
                 valid = record is not None
-                filled, typed, rescued = enforce(record, by_path) if valid else ({}, {}, {})
-                rows.append([file_id, line_no, kind, valid, *(filled.get(n) for n in names), list(typed.items()), list(rescued.items())])
+                filled, typed, rescued, shape = enforce(record, by_path) if valid else ({}, {}, {}, None)
+                rows.append([file_id, line_no, kind, valid, *(filled.get(n) for n in names), list(typed.items()), list(rescued.items()), shape])
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["file_id", "line_no", "record_kind", "valid", *names, "typed", "rescued"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["file_id", "line_no", "record_kind", "valid", *names, "typed", "rescued", "shape"])
 
     return raw.select(F.col("file_id").cast("bigint"), F.col("line_no").cast("int"), "record_kind", "raw").mapInArrow(run, schema)
 
@@ -210,55 +212,17 @@ def replay(rescued: DataFrame, approved: dict[str, tuple[str, ...]], target: Tar
     return out
 
 
-def _field_rows(raw: DataFrame) -> DataFrame:
-    """(file_id, record_kind, id, field, kind, value) of each field of each rescued line; kind and value are null for a null.
+def _value_of(fields: str, name: str) -> Column:
+    """(name, value) of each of the record's fields in the array column ``fields``: a hash of its JSON text, of an object's of what is below it; nulls left out."""
+    entries = F.concat(F.map_entries("typed"), F.map_entries("rescued"))  # a path may be in both where keys hold dots
 
-    ``value`` is a 64-bit digest of the value's canonical text, enough to compare the values of one record. Everything is
-    rescued here: no field is taken for known before the report.
-    """
-    by_path = paths_of(Target({"id": ("id", "string")}))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+    def one(f):
+        below = F.filter(entries, lambda e: F.startswith(e["key"], F.concat(f, F.lit("."))))
+        inside = F.array_sort(F.transform(below, lambda e: F.concat(F.substr(e["key"], F.length(f) + 2), F.lit(":"), e["value"])))
+        text = F.coalesce(F.try_element_at("typed", f), F.try_element_at("rescued", f), F.when(F.size(below) > 0, F.concat(F.lit("{"), F.array_join(inside, ","))))
+        return F.struct(f.alias(name), F.when(text != "null", F.xxhash64(text)).alias("value"))
 
-        def digest(text: str) -> int:
-            return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-        for batch in batches:
-            files, records, keys, fields, kinds, values = out = [], [], [], [], [], []
-            for file_id, record, raw_text in zip(*(c.to_pylist() for c in batch.columns)):
-                line = record_of(raw_text)
-                if line is None:
-                    continue
-                filled, typed, rescued = enforce(line, by_path)
-                key = filled.get("id")
-                own = sorted((typed | rescued).items())
-                above: dict[str, list[str]] = {}
-                for path, text in own:
-                    # Objects above a rescued field are fields too; their value is what is below them.
-                    at = path.find(".")
-                    while at > 0:
-                        above.setdefault(path[:at], []).append(f"{path[at + 1 :]}:{text}")
-                        at = path.find(".", at + 1)
-                    kind = _KIND_OF_TEXT.get(text[0], "number")
-                    fields.append(path)
-                    kinds.append(kind if kind != "array" else kind_of(json.loads(text)))
-                    values.append(digest(text) if kind else None)
-                for path, below in above.items():
-                    fields.append(path)
-                    kinds.append("object")
-                    values.append(digest("{" + ",".join(below) + "}"))
-                n = len(own) + len(above)
-                files += [file_id] * n
-                records += [record] * n
-                keys += [key] * n
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64(), *[pa.string()] * 4, pa.int64()])], names=["file_id", "record_kind", "id", "field", "kind", "value"])
-
-    return raw.select(F.col("file_id").cast("bigint"), "record_kind", "raw").mapInArrow(run, "file_id bigint, record_kind string, id string, field string, kind string, value bigint")
-
-
-#: Type of a JSON text by its first character; numbers begin with anything else.
-_KIND_OF_TEXT = {'"': "string", "t": "boolean", "f": "boolean", "n": None, "{": "object", "[": "array"}
+    return F.explode(F.filter(F.transform(fields, one), lambda x: x["value"].isNotNull()))
 
 
 def file_pairs(manifest: DataFrame) -> DataFrame:
@@ -267,15 +231,19 @@ def file_pairs(manifest: DataFrame) -> DataFrame:
     return manifest.select("stream_id", "exported_at", "file_id").distinct().withColumn("old_id", F.lag("file_id").over(w)).where("old_id IS NOT NULL").select("file_id", "old_id")
 
 
-def schema_changes(raw: DataFrame, manifest: DataFrame) -> DataFrame:
+def changes_of(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """(file_id, record_kind, change, field, new_field): what changed in each file against the one before it in its stream.
 
-    ``type_changed``, ``renamed``, ``removed`` and ``added`` as the field rows show it; fields below a reported one are left
+    ``lines`` are rescued lines (see ``rescue``), best materialised; what their typed and rescued fields are is the report.
+    ``type_changed``, ``renamed``, ``removed`` and ``added`` as the lines show it; fields below a reported one are left
     out. Invalid lines count for nothing; a kind of record that only one of the two files has counts as its fields being
     added or removed. Files that the manifest does not name are left out.
     """
-    rows = materialize(_field_rows(raw), "fields")
-    kinds = materialize(rows.groupBy("file_id", "record_kind", "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds")), "kinds")
+    lines = lines.where("valid")
+    shapes = lines.select("file_id", "record_kind", "shape").distinct()
+    fields = shapes.select("file_id", "record_kind", F.explode(F.from_json("shape", "array<array<string>>")).alias("f"))
+    kinds = fields.groupBy("file_id", "record_kind", F.col("f")[0].alias("field")).agg(F.array_sort(F.collect_set(F.col("f")[1])).alias("kinds"))
+    kinds = materialize(kinds, "kinds")
     pairs = file_pairs(manifest)
     new = kinds.join(pairs, "file_id").withColumnRenamed("kinds", "new_kinds")
     old = kinds.withColumnRenamed("file_id", "old_id").withColumnRenamed("kinds", "old_kinds").join(pairs, "old_id")
@@ -284,11 +252,16 @@ def schema_changes(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     typed = both.where("size(old_kinds) > 0 AND size(new_kinds) > 0 AND old_kinds <> new_kinds").select("file_id", "record_kind", F.lit("type_changed").alias("change"), "field", F.lit("").alias("new_field"))
     gone = both.where("new_kinds IS NULL").select(*key, "field")
     came = both.where("old_kinds IS NULL").select(*key, F.col("field").alias("new_field"))
-    # Values of the fields in question only, joined by record; a manifest record has no id.
+    # Values of the fields in question only, where one may be the other, joined by record; a manifest record has no id.
+    lost = both.where("new_kinds IS NULL").groupBy(*key).agg(F.collect_list("field").alias("fields"))
+    won = both.where("old_kinds IS NULL").groupBy(*key).agg(F.collect_list("field").alias("new_fields"))
+    asked = lost.join(won, key)
     record = F.when(F.col("record_kind") == "manifest", F.lit("")).otherwise(F.col("id")).alias("id")
-    values = rows.where("value IS NOT NULL").select("file_id", "record_kind", record, "field", "value").where("id IS NOT NULL")
-    was = values.withColumnRenamed("file_id", "old_id").join(broadcast_if_small(gone), ["old_id", "record_kind", "field"]).distinct()
-    now = values.withColumnsRenamed({"field": "new_field", "value": "new_value"}).join(broadcast_if_small(came), ["file_id", "record_kind", "new_field"]).distinct()
+    values = lines.select("file_id", "record_kind", record, "typed", "rescued").where("id IS NOT NULL")
+    was = values.withColumnRenamed("file_id", "old_id").join(broadcast_if_small(asked.drop("new_fields")), ["old_id", "record_kind"]).select(*key, "id", _value_of("fields", "field").alias("v"))
+    now = values.join(broadcast_if_small(asked.drop("fields")), ["file_id", "record_kind"]).select(*key, "id", _value_of("new_fields", "new_field").alias("v"))
+    was = was.select(*key, "id", "v.field", "v.value").distinct()
+    now = now.select(*key, "id", "v.new_field", F.col("v.value").alias("new_value")).distinct()
     same = was.join(now, [*key, "id"]).groupBy(*key, "field", "new_field").agg(F.min((F.col("value") == F.col("new_value")).cast("int")).alias("equal")).where("equal = 1")
     same = materialize(same, "renames")
     renamed = same.select("file_id", "record_kind", F.lit("renamed").alias("change"), "field", "new_field")
@@ -309,6 +282,11 @@ def schema_changes(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     return found.join(below, found.columns, "left_anti")
 
 
+def schema_changes(raw: DataFrame, manifest: DataFrame, target: Target = RECORDS) -> DataFrame:
+    """``changes_of`` raw lines (file_id, line_no, record_kind, raw), each rescued once."""
+    return changes_of(materialize(rescue(raw, target), "rescued"), manifest)
+
+
 def renames(changes: DataFrame, target: Target = RECORDS) -> dict[str, tuple[str, ...]]:
     """Column -> other names its path was seen to take: the promotions that a change report approves.
 
@@ -341,4 +319,4 @@ def renames(changes: DataFrame, target: Target = RECORDS) -> dict[str, tuple[str
 def unified(raw: DataFrame, manifest: DataFrame, target: Target = RECORDS) -> DataFrame:
     """All lines in one table of typed columns: renamed fields are promoted and their rescued values replayed."""
     lines = materialize(rescue(raw, target), "rescued")
-    return replay(lines.where("valid"), renames(schema_changes(raw, manifest), target), target)
+    return replay(lines.where("valid"), renames(changes_of(lines, manifest), target), target)

@@ -14,7 +14,7 @@ def p4_found(spark, d):
 
 def p4_table(spark, d):
     out = drift.unified(table(spark, d, "raw_records"), table(spark, d, "manifest"))
-    return out.drop("typed", "valid").withColumn("rescued", F.to_json("rescued"))
+    return out.drop("typed", "valid", "shape").withColumn("rescued", F.to_json("rescued"))
 
 
 def p5_found(spark, d):

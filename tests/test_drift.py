@@ -146,3 +146,11 @@ def test_no_rename_is_dropped(spark):
     many = [("renamed", path, f"n{i}") for i in range(1500)] + [("renamed", "n1499", "o.p"), ("renamed", "o", "o.q")]
     names = drift.renames(spark.createDataFrame(many, "change string, field string, new_field string"))["content_type"]
     assert {f"n{i}" for i in range(1500)} | {"o.p", "o.q.p"} <= set(names)
+
+
+def test_the_report_reads_typed_and_rescued_fields(spark):
+    """Fields that fill typed columns are compared like rescued ones, keys that hold dots and long odd texts included."""
+    raw, manifest = tables(spark, {1: [("node", {"id": "a", "message": {"author": {"role": "user"}, "content": {"parts": ["x"]}}, "a.b": 1, "a": {"b": 2}})], 2: [("node", {"id": "a", "message": {"speaker": {"role": "user"}, "content": {"parts": ["x", 1]}}, "a.b": 1, "a": {"b": 2}, "message.id": "y" * 100_000})]})
+    assert rows(drift.schema_changes(raw, manifest)) == [(2, "node", "added", "message.id", ""), (2, "node", "renamed", "message.author", "message.speaker"), (2, "node", "type_changed", "message.content.parts", "")]
+    shape = drift.rescue(raw).first().shape
+    assert ["message.content", "object"] in json.loads(shape) and ["message.author.role", "string"] in json.loads(shape)
