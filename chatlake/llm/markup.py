@@ -1,10 +1,12 @@
 """Problem 2: clean text from HTML, Markdown, wiki and LaTeX markup.
 
 Method: layout-aware rendering. Code blocks and formulas are set aside first; LaTeX, wiki and
-Markdown constructs become the elements they stand for, and one tree builder with implied tags
-and visibility rules renders all of it: block spacing, headings, nested and numbered lists, code
-blocks, formulas and aligned table cells stay, everything else becomes its visible text. Each
-construct that is consumed names its notation, so the same pass says which markup a text held.
+Markdown constructs become the elements they stand for (headings, lists, tables, quotes, links,
+emphasis), written as tags of our own beside those of HTML, and one tree builder with implied tags
+and visibility rules takes both. The tree is rendered without recursion: block spacing, headings,
+nested and numbered lists, code blocks, formulas and aligned table cells stay, everything else
+becomes its visible text. Each construct that is consumed names its notation, so the same pass says
+which markup a text held.
 """
 
 from __future__ import annotations
@@ -116,6 +118,33 @@ _AUTOLINK = re.compile(r"<((?:https?|ftp)://[^\s<>]+)>")
 #: Wider than any pattern above: stand-in characters count, as they are taken out first, and digits of all scripts.
 ANY_MARK = r"(?m)[<&\\$`*_~#=\[{|\uE000\uE001]|''|^[ \t]*(?:[>;]|-[ \t]*-|(?:[-+]|\p{Nd}+[.)])[ \t])|-{3}"
 
+#: Tags of our own: what other notations than HTML become.
+_OWN_TAG = re.compile("\ue002(/?)([a-z0-9]+)([^\ue002\ue003]*)\ue003")
+_ANY_TAG = re.compile(_OWN_TAG.pattern + "|" + _TAG.pattern, re.I)
+
+
+#: Attribute of elements that stand on lines of their own in the text: they bring no blank lines.
+LINES = " lines"
+
+
+def tag(name: str, inner: str, attrs: str = "") -> str:
+    """``inner`` inside an element of our own."""
+    return f"\ue002{name}{attrs}\ue003{inner}\ue002/{name}\ue003"
+
+
+def begin(name: str, attrs: str = "") -> str:
+    return f"\ue002{name}{attrs}\ue003"
+
+
+def end(name: str) -> str:
+    return f"\ue002/{name}\ue003"
+
+
+def table_of(rows: list[list[str]]) -> str:
+    """Rows of cells as a table element."""
+    return tag("table", "".join(tag("tr", "".join(tag("td", c) for c in r)) for r in rows if r), LINES)
+
+
 _KEEP = "\ue000{}\ue001"
 _KEPT = re.compile("\ue000(\\d+)\ue001")
 
@@ -131,10 +160,10 @@ class Kept:
         return _KEEP.format(len(self.pieces) - 1)
 
     def restore(self, text: str) -> str:
-        def back(m: re.Match) -> str:
-            return self.restore(self.pieces[int(m[1])][0])
-
-        return _KEPT.sub(back, text)
+        # A piece only holds pieces set aside before it.
+        while _KEPT.search(text):
+            text = _KEPT.sub(lambda m: self.pieces[int(m[1])][0], text)
+        return text
 
 
 class Node:
@@ -155,16 +184,17 @@ def build_tree(text: str, real) -> Node:
         held.subtract(n.name for n in stack[i:])
         del stack[i:]
 
-    for m in _TAG.finditer(text):
-        if not real(m):
+    for m in _ANY_TAG.finditer(text):
+        own = m[2] is not None
+        if not own and not real(m[4], m[5], m[6]):
             continue
         if m.start() > at:
             stack[-1].children.append(text[at : m.start()])
         at = m.end()
-        name = m[2].lower()
-        if m[1]:
+        ends_it, name, attrs = (m[1], m[2], m[3]) if own else (m[4], m[5].lower(), m[6])
+        if ends_it:
             if held[name]:
-                close(max(i for i, n in enumerate(stack) if n.name == name))
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
             elif name == "p":
                 stack[-1].children.append(Node("p"))
             continue
@@ -180,9 +210,9 @@ def build_tree(text: str, real) -> Node:
                     break
                 if stack[i].name in ends:
                     close(i)
-        node = Node(name, m[3])
+        node = Node(name, attrs)
         stack[-1].children.append(node)
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not attrs.endswith("/"):
             stack.append(node)
             held[name] += 1
     if at < len(text):
@@ -206,83 +236,101 @@ def _block(text: str) -> str:
     return f"\n\n{text}\n\n" if text.strip() else ""
 
 
-def render_node(node: Node, depth: int = 0) -> str:
-    """Visible text of a node."""
+class Rows(list):
+    """Rows of a table with the texts that stand among them."""
+
+    def __init__(self, rows=(), others=()):
+        super().__init__(rows)
+        self.others = list(others)
+
+    def text(self) -> str:
+        return "\n".join(x for x in (*self.others, _aligned(self)) if x)
+
+
+_VALUE = re.compile(r"value=(\d+)")
+
+
+def render_tree(root: Node) -> str:
+    """Visible text of a tree, from the leaves up, at any depth."""
+    work: list[tuple[Node, list, int]] = [(root, [], 0)]
+    while True:
+        node, done, at = work.pop()
+        children = node.children
+        while at < len(children) and isinstance(children[at], str):
+            done.append((None, children[at]))
+            at += 1
+        if at < len(children):
+            work.append((node, done, at + 1))
+            work.append((children[at], [], 0) if _shown(children[at]) else (Node("root"), [], 0))
+            continue
+        got = _rendered(node, done)
+        if not work:
+            return got
+        work[-1][1].append((node, got))
+
+
+def _shown(node: Node) -> bool:
+    return node.name not in HIDDEN and not (node.attrs and _INVISIBLE.search(node.attrs))
+
+
+def _plain(got) -> str:
+    return _block(got.text()) if isinstance(got, Rows) else got
+
+
+def _rendered(node: Node, done: list[tuple[Node | None, str]]) -> str:
+    """Text of one node, given those of its children; rows of tables stay apart until their table."""
     name = node.name
-    if name in HIDDEN or node.attrs and _INVISIBLE.search(node.attrs):
-        return ""
+    block = str if node.attrs == LINES else _block
     if name == "br":
         return "\n"
     if name == "hr":
-        return "\n\n---\n\n"
+        return "---" if node.attrs == LINES else "\n\n---\n\n"
     if name == "img":
         m = _ALT.search(node.attrs)
         return (m[1] or m[2] or m[3] or "") if m else ""
-    if depth > 300:  # deeper markup is flattened
-        return _all_text(node)
-    if name == "table":
-        rows, others = _rows(node, depth)
-        return _block("\n".join(x for x in (*others, _aligned(rows)) if x))
+    if name == "tr":
+        return Rows([[" ".join(_plain(g).split()) for c, g in done if c is not None]])
+    if name in ("table", "thead", "tbody", "tfoot"):
+        rows = Rows()
+        for c, got in done:
+            if isinstance(got, Rows):
+                rows += got
+                rows.others += got.others
+            elif c is not None and c.name in ("td", "th"):  # a cell without a row
+                rows.append([" ".join(got.split())])
+            elif got.strip():
+                rows.others.append(got.strip())
+        return block(rows.text()) if name == "table" else rows
     if name in ("ul", "ol", "menu", "dir"):
         items, number = [], 0
-        for c in node.children:
-            if isinstance(c, Node) and c.name == "li":
-                number += 1
+        for c, got in done:
+            got = _plain(got)
+            if c is not None and c.name == "li":
+                value = _VALUE.search(c.attrs) if c.attrs else None
+                number = int(value[1]) if value else number + 1
                 mark = f"{number}. " if name == "ol" else "- "
-                body = re.sub(r"\n{2,}", "\n", render_node(c, depth + 1).strip())
+                body = re.sub(r"\n{2,}", "\n", got.strip())
                 items.append(mark + body.replace("\n", "\n" + " " * len(mark)))
-            else:
-                extra = (c if isinstance(c, str) else render_node(c, depth + 1)).strip()
-                if extra:
-                    items.append(extra)
-        return _block("\n".join(items))
-    inner = "".join(c if isinstance(c, str) else render_node(c, depth + 1) for c in node.children)
+            elif got.strip():
+                items.append(got.strip())
+        return block("\n".join(items))
+    inner = "".join(_plain(got) for _, got in done)
     if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
         title = " ".join(inner.split())
-        return _block("#" * int(name[1]) + " " + title) if title else ""
+        return block("#" * int(name[1]) + " " + title) if title else ""
     if name == "blockquote":
-        return _block("\n".join("> " + x for x in inner.strip().split("\n")))
+        return block("\n".join("> " + x for x in inner.strip().split("\n")))
+    if name == "dd":
+        return "\n  " + inner.strip().replace("\n", "\n  ")
+    if name == "dt":
+        return "\n" + inner.strip()
     if name in ("td", "th"):
         return inner + "\t"
     if name == "sup" and inner.strip():
         return "^" + inner.strip()
     if name == "sub" and inner.strip():
         return "_" + inner.strip()
-    if name in BLOCKS:
-        return _block(inner)
-    return inner
-
-
-def _all_text(node: Node) -> str:
-    out, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            out.append(n)
-        elif n.name not in HIDDEN:
-            todo.extend(reversed(n.children))
-    return "".join(out)
-
-
-def _rows(table: Node, depth: int) -> tuple[list[list[str]], list[str]]:
-    rows, others = [], []
-    for c in table.children:
-        if isinstance(c, str):
-            if c.strip():
-                others.append(c.strip())
-        elif c.name == "tr":
-            rows.append([" ".join(render_node(d, depth + 1).split()) for d in c.children if isinstance(d, Node)])
-        elif c.name in ("td", "th"):  # a cell without a row
-            rows.append([" ".join(render_node(c, depth + 1).split())])
-        elif c.name in ("thead", "tbody", "tfoot"):
-            more, extra = _rows(c, depth + 1)
-            rows += more
-            others += extra
-        else:
-            text = render_node(c, depth + 1).strip()
-            if text:
-                others.append(text)
-    return rows, others
+    return _block(inner) if name in BLOCKS else inner
 
 
 def _pipes(line: str) -> list[str]:
@@ -316,6 +364,46 @@ def _formula_end(text: str, m: re.Match, lacking: set[str]) -> int:
     return end + len(last) if end > begin or m["env"] and end == begin else -1
 
 
+_TABULAR = re.compile(r"\\begin\{(?P<env>tabular[xy*]?|longtable|array|tabbing)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*(?P<rows>(?:(?!\\begin\{)[\s\S])*?)\\end\{(?P=env)\}")
+_RULES = re.compile(r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^{}]*\})")
+_BRACE = re.compile(r"\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{|[{}]")
+
+
+def unwrapped(text: str) -> str:
+    """Commands of LaTeX replaced by their argument (of two, the second), from the innermost out, in one pass; braces of other use stay, and what stands around them."""
+    out: list[str] = []
+    stack: list[list] = []  # slot of the opening in ``out``, its text, whether the command must stay, whether this is its second argument
+    at = 0
+    for m in _BRACE.finditer(text):
+        if m.start() < at:
+            continue
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m[0] != "}":
+            out.append(m[0])
+            stack.append([len(out) - 1, m[0] == "{", False])
+            continue
+        if not stack:
+            out.append("}")
+            continue
+        slot, stays, second = stack.pop()
+        if stays:
+            out.append("}")
+            if stack:
+                stack[-1][1] = True
+            continue
+        if not second and text.startswith("{", at):
+            close = _BRACE.search(text, at + 1)
+            if close and close[0] == "}":
+                # A second argument without braces takes the place of the first.
+                del out[slot:]
+                out.append(text[at + 1 : close.start()])
+                at = close.end()
+                continue
+        out[slot] = ""
+    return "".join(out) + text[at:]
+
+
 class Rendering:
     """One text on its way to clean text; ``found`` collects the notations met."""
 
@@ -325,7 +413,7 @@ class Rendering:
 
     def run(self, text: str) -> str:
         # Stand-in characters of the text itself would be mistaken for ours.
-        text = text.replace("\ue000", "").replace("\ue001", "").replace("\r\n", "\n")
+        text = re.sub("[\ue000-\ue003]", "", text).replace("\r\n", "\n")
         text = _CODE.sub(self.code, text)
         text = _INLINE_CODE.sub(lambda m: self.hit("markdown", self.kept.keep(m[2].strip())), text)
         text = _MATH_TAG.sub(lambda m: self.hit("wiki", self.kept.keep(f"${m[1].strip()}$")), text)
@@ -376,16 +464,14 @@ class Rendering:
             return text
         before = text
         levels = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
-        text = _SECTION.sub(lambda m: f"\n\n{self.kept.keep('#' * levels[m[1]] + ' ' + m[2].strip())}\n\n", text)
+        text = _SECTION.sub(lambda m: "\n\n" + tag(f"h{levels[m[1]]}", m[2].strip()) + "\n\n", text)
         text = _DROPPED.sub("", text)
         if "\\item" in text or _LIST_ENV.search(text):
             text = self.latex_lists(text)
+        if "&" in text:
+            text = _TABULAR.sub(lambda m: table_of([[_RULES.sub("", c).strip() for c in re.split(r"(?<!\\)&", r)] for r in re.split(r"\\\\(?:\[[^\]\n]*\])?", m["rows"]) if _RULES.sub("", r).strip()]), text)
         text = _ANY_ENV.sub("", text)
-        for _ in range(20):  # commands inside commands
-            new = _UNWRAPPED.sub(lambda m: m[2] if m[2] is not None else m[1], text)
-            if new == text:
-                break
-            text = new
+        text = unwrapped(text)
         text = _BARE.sub("", text)
         if text != before:
             self.found.add("latex")
@@ -393,45 +479,37 @@ class Rendering:
         return text
 
     def latex_lists(self, text: str) -> str:
-        out, open_lists = [], []
+        """Lists as elements; the tree builder ends an item where the next one or the list's end comes."""
+        kinds = {"itemize": "ul", "enumerate": "ol", "description": "ul"}
+        open_lists = 0
+        out = []
         for line in text.split("\n"):
             m = _LIST_ENV.search(line)
             if m:
-                if m[1] == "begin":
-                    open_lists.append([m[2], 0])
-                elif open_lists:
-                    open_lists.pop()
-                line = _LIST_ENV.sub("", line)
-                if not line.strip():
-                    continue
-
-            def item(i: re.Match) -> str:
-                kind = open_lists[-1] if open_lists else ["itemize", 0]
-                kind[1] += 1
-                mark = f"{kind[1]}. " if kind[0] == "enumerate" else "- "
-                return self.kept.keep("  " * min(max(len(open_lists) - 1, 0), 20) + mark) + (f"{i[1]}: " if i[1] else "")
-
-            out.append(_ITEM.sub(item, line.lstrip() if "\\item" in line else line))
+                open_lists += 1 if m[1] == "begin" else -1
+                line = _LIST_ENV.sub(lambda m: begin(kinds[m[2]]) if m[1] == "begin" else end(kinds[m[2]]), line)
+            if "\\item" in line:
+                stray = open_lists <= 0
+                line = _ITEM.sub(lambda i: (begin("ul") if stray else "") + begin("li") + (f"{i[1]}: " if i[1] else ""), line.lstrip()) + (end("ul") if stray else "")
+            out.append(line)
         return "\n".join(out)
 
     def wiki(self, text: str) -> str:
         before = text
         if "=" in text:
-            text = _WIKI_HEADING.sub(lambda m: self.kept.keep("#" * len(m[1]) + " " + m[2].strip()) if len(m[1]) > 1 else m[0], text)
+            text = _WIKI_HEADING.sub(lambda m: tag(f"h{len(m[1])}", m[2].strip(), LINES) if len(m[1]) > 1 else m[0], text)
         if "{" in text:
             text = _WIKI_TABLE.sub(self.wiki_table, text)
-            for _ in range(5):
-                new = _TEMPLATE.sub(self.template, text)
-                if new == text:
-                    break
+            # Templates inside templates: from the innermost out, at any depth.
+            while (new := _TEMPLATE.sub(self.template, text)) != text:
                 text = new
         if "[" in text:
             text = _WIKI_LINK.sub(self.wiki_link, text)
-            text = _EXTERNAL.sub(lambda m: (m[2] or m[1]).strip(), text)
+            text = _EXTERNAL.sub(lambda m: tag("a", (m[2] or m[1]).strip()), text)
         if "''" in text:
-            text = _WIKI_EMPHASIS.sub(lambda m: m[2], text)
+            text = _WIKI_EMPHASIS.sub(lambda m: tag("em", m[2]), text)
         text = _WIKI_TAG.sub("", text)
-        text = _DEFINITION.sub(lambda m: m[1] + "\n" + re.sub(r"(?m)^:[ \t]*", "  ", m[2]), text)
+        text = _DEFINITION.sub(lambda m: tag("dl", tag("dt", m[1]) + "".join(tag("dd", x[1:].strip()) for x in m[2].split("\n") if x)) + "\n", text)
         if text != before:
             self.found.add("wiki")
         return text
@@ -449,7 +527,7 @@ class Rendering:
                     rows[-1].append(re.sub(r"^[^\[\]|{}]*=[^\[\]|{}]*\|(?!\|)", "", cell).strip())
             elif line and rows[-1]:
                 rows[-1][-1] += " " + line
-        return _aligned([r for r in rows if r]) + "\n"
+        return table_of(rows) + "\n"
 
     def template(self, m: re.Match) -> str:
         name = m[1].strip().lower()
@@ -467,48 +545,102 @@ class Rendering:
             return ""
         if space in ("file", "image"):
             return labels[-1] if labels and labels[-1] not in ("thumb", "frame", "left", "right", "center") else ""
-        return labels[-1] if labels and labels[-1] else target.replace("#", ": ")
+        return tag("a", labels[-1] if labels and labels[-1] else target.replace("#", ": "))
 
     def markdown(self, text: str) -> str:
         before = text
         if "|" in text:
-            text = _MD_TABLE.sub(lambda m: _aligned([_pipes(x) for x in (m[1] + m[2]).split("\n") if x.strip()]) if not m[1].lstrip().startswith("{|") else m[0], text)
+            text = _MD_TABLE.sub(lambda m: table_of([_pipes(x) for x in (m[1] + m[2]).split("\n") if x.strip()]) if not m[1].lstrip().startswith("{|") else m[0], text)
         if "[" in text:
             text = _FOOTNOTE_TEXT.sub(r"(\1) ", text)
             text = _FOOTNOTE.sub(r"(\1)", text)
             text = _REFERENCE.sub("", text)
-            text = _IMAGE_OR_LINK.sub(lambda m: m[2] or ("" if m[1] else m[3]), text)
-            text = _REFERENCE_LINK.sub(lambda m: m[1], text)
+            text = _IMAGE_OR_LINK.sub(lambda m: tag("a", m[2] or ("" if m[1] else m[3])), text)
+            text = _REFERENCE_LINK.sub(lambda m: tag("a", m[1]), text)
         if "#" in text:
-            text = _ATX.sub(lambda m: self.kept.keep(m[1] + " ") + m[2], text)
-        text = _SETEXT.sub(lambda m: self.kept.keep(("# " if m[2][0] == "=" else "## ")) + m[1], text)
-        text = _RULE.sub(lambda m: self.kept.keep("---"), text)
+            text = _ATX.sub(lambda m: tag(f"h{len(m[1])}", m[2], LINES), text)
+        text = _SETEXT.sub(lambda m: tag("h1" if m[2][0] == "=" else "h2", m[1], LINES), text)
+        text = _RULE.sub(lambda m: begin("hr", LINES), text)
         if ">" in text:
-            text = _QUOTE.sub(lambda m: self.kept.keep("> "), text)
-            text = _AUTOLINK.sub(lambda m: m[1], text)
-        text = _TASK.sub(lambda m: self.kept.keep(f"{m[1]}- [{m[2].lower()}] "), text)
-        text = _BULLET.sub(lambda m: self.kept.keep(f"{m[1]}- "), text)
-        if len(_NUMBERED.findall(text)) > 1:
-            text = _NUMBERED.sub(lambda m: self.kept.keep(f"{m[1]}{m[2]}. "), text)
-        text = _BOLD.sub(lambda m: m[1] or m[2], text)
-        text = _STRUCK.sub(lambda m: m[1], text)
-        text = _EMPHASIS.sub(lambda m: m[1] or m[2], text)
+            text = self.quotes(text)
+            text = _AUTOLINK.sub(lambda m: tag("a", m[1]), text)
+        text = self.lists(text)
+        text = _BOLD.sub(lambda m: tag("strong", m[1] or m[2]), text)
+        text = _STRUCK.sub(lambda m: tag("s", m[1]), text)
+        text = _EMPHASIS.sub(lambda m: tag("em", m[1] or m[2]), text)
         if text != before:
             self.found.add("markdown")
             text = re.sub(r"\\([\\`*_{}\[\]()#+.!|>~-])", r"\1", text)
         return text
 
+    def quotes(self, text: str) -> str:
+        """Lines after ``>`` as one quotation each run."""
+        out, quoted = [], []
+        for line in [*text.split("\n"), None]:
+            m = _QUOTE.match(line) if line else None
+            if m:
+                quoted.append(line[m.end() :])
+                continue
+            if quoted:
+                out.append(tag("blockquote", "\n".join(quoted), LINES))
+                quoted = []
+            if line is not None:
+                out.append(line)
+        return "\n".join(out)
+
+    def lists(self, text: str) -> str:
+        """Bulleted, numbered and task lines as nested lists by their indentation; single numbered lines are none."""
+        numbered = len(_NUMBERED.findall(text)) > 1
+        if not numbered and not _BULLET.search(text) and not _TASK.search(text):
+            return text
+        out: list[str] = []
+        stack: list[tuple[int, str]] = []  # indentation and element of the open lists
+        last = -1  # the last line of a list
+
+        def close(indent: int, kind: str = "") -> None:
+            while stack and (stack[-1][0] > indent or stack[-1][0] == indent and kind and stack[-1][1] != kind):
+                out[last] += end(stack.pop()[1])
+
+        for line in text.split("\n"):
+            task = _TASK.match(line)
+            m = task or _BULLET.match(line) or (_NUMBERED.match(line) if numbered else None)
+            if m:
+                indent, kind = len(m[1].expandtabs(4)), "ol" if not task and m.lastindex == 2 else "ul"
+                close(indent, kind)
+                mark = begin("li", f" value={m[2]}" if kind == "ol" else "") + (f"[{m[2].lower()}] " if task else "")
+                if not stack or stack[-1][0] < indent:
+                    stack.append((indent, kind))
+                    mark = begin(kind, LINES) + mark
+                out.append(mark + line[m.end() :])
+                last = len(out) - 1
+            elif stack and line.strip() and (len(line) - len(line.lstrip()) <= stack[0][0] or not line[0].isspace()):
+                close(-1)
+                out.append(line)
+            elif stack and line.strip():
+                out.append(line.strip())  # goes on with the item
+                last = len(out) - 1
+            else:
+                out.append(line)
+        if stack:
+            close(-1)
+        return "\n".join(out)
+
     def html(self, text: str) -> str:
+        found_own = "\ue002" in text
+        real = lambda ends, name, attrs: False
         if "<" in text:
             closed = {m[2].lower() for m in _TAG.finditer(text) if m[1]}
 
-            def real(m: re.Match) -> bool:
-                name = m[2].lower()
-                return name not in WORDS or bool(m[3].strip(" /")) or name in closed
+            def real(ends: str, name: str, attrs: str) -> bool:
+                name = name.lower()
+                return name not in WORDS or bool(attrs.strip(" /")) or name in closed
 
-            if any(real(m) for m in _TAG.finditer(text)):
+            if any(real(*m.groups()) for m in _TAG.finditer(text)):
                 self.found.add("html")
-                text = render_node(build_tree(text, real))
+                found_own = True
+        if found_own:
+            text = render_tree(build_tree(text, real))
+        if "<" in text:
             text = re.sub(r"<!DOCTYPE[^>]*>", lambda m: self.hit("html", ""), text, flags=re.I)
         if "&" in text:
 

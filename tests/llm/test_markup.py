@@ -146,3 +146,45 @@ def test_quotes_and_definitions_without_blanks(spark):
     m = spark.createDataFrame([("a", "text", [">quoted words\nreply"]), ("b", "text", [";Term\n:Definition"])], "node_id string, content_type string, parts array<string>")
     assert rows(markup.markup_found(m)) == [("a", "markdown"), ("b", "wiki")]
     assert rows(markup.clean_parts(m), "node_id", "text") == [("a", "> quoted words\nreply"), ("b", "Term\n  Definition")]
+
+
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("- a\n  - b\n    1. c\n    2. d\n- e\n\nend", "- a\n  - b\n    1. c\n    2. d\n- e\n\nend"),
+        ("3. a\n4. b\n\n- [x] c", "3. a\n4. b\n\n- [x] c"),
+        ("> a\n> **b**\n\nc", "> a\n> b\n\nc"),
+        ("| a | **bb** |\n|---|---|\n| cc | d |\nend", "a  | bb\ncc | d\nend"),
+        ("\\begin{tabular}{ll}\n\\hline\na & bb \\\\\nccc & \\textbf{d} \\\\\n\\end{tabular}", "a   | bb\nccc | d"),
+        ("\\begin{itemize}\n\\item a\n\\begin{enumerate}\n\\item b\n\\item c\n\\end{enumerate}\n\\item d\n\\end{itemize}", "- a\n  1. b\n  2. c\n- d"),
+        ("{|\n! a !! bb\n|-\n| '''ccc''' || d\n|}", "a   | bb\nccc | d"),
+        ("<ul><li>one<li>two **three**</ul>", "- one\n- two three"),
+        ("\\textbf{a {b} c} \\emph{d}", "\\textbf{a {b} c} d"),
+        ("\\href{u}{text} \\emph{\\textbf{x}}", "text x"),
+        ("\\emph{never closed", "\\emph{never closed"),
+    ],
+)
+def test_other_notations_go_through_the_tree(text, clean):
+    assert markup.render(text)[0] == clean
+
+
+def test_no_caps_on_length_or_nesting():
+    formula = "\\frac{a}{b}+" * 900
+    assert formula in markup.render(f"x \\[{formula}c\\] y")[0] and formula in markup.render(f"$${formula}c$$")[0]
+    deep = markup.render("<ul><li>x" * 1000 + "<li>y")[0]
+    assert deep.count("- x") == 1000 and deep.rstrip().endswith("- y")
+    assert markup.render("<div>" * 5000 + "in")[0] == "in"
+    assert markup.render("{{a|" * 10 + "x" + "}}" * 10) == ("", ["wiki"])
+    assert markup.render("\\emph{" * 3000 + "x" + "}" * 3000)[0] == "x"
+    assert markup.render("".join("  " * k + "- i\n" for k in range(60)))[0].count("- i") == 60
+    assert markup.render("> " * 400 + "x")[0].endswith("x")
+
+
+def test_every_notation_becomes_elements(monkeypatch):
+    """Headings of all four notations come out of the one renderer."""
+    seen = []
+    real = markup.build_tree
+    monkeypatch.setattr(markup, "build_tree", lambda text, r: seen.append(real(text, r)) or seen[-1])
+    for text in ("# T", "== T ==", "\\section{T}", "<h1>T</h1>"):
+        markup.render(text)
+    assert [[c.name for c in t.children if not isinstance(c, str)][0] for t in seen] == ["h1", "h2", "h1", "h1"]
