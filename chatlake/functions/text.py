@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 WHITE = r"[\s\p{Z}\x1c-\x1f\x85]"
 FENCE = "```"
+# Characters that file names may not hold.
+FORBIDDEN = r'[<>:"/\\|?*\x00-\x1F]'
 
 
 def strip(c: Column) -> Column:
@@ -28,30 +30,35 @@ def sanitize(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"(?U){WHITE}+", " "))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once per row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def light_format(c: Column) -> Column:
     """Runs of blank lines outside code become one empty line, an open code fence is closed, blank lines at the end go.
 
-    One pass over the lines of a row (no shuffle): whether a line lies in code is the parity of the fences before it.
+    In linear time within a row (no shuffle): the fences cut the lines into stretches that lie outside and inside code in
+    turn; outside, a blank line stays if the line before it is not blank.
     """
-    lines = split_lines(c)
-    is_fence = lambda x: F.ltrim(F.regexp_replace(x, rf"(?U)^{WHITE}+", "")).startswith(FENCE)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("code"), F.lit(False).alias("blank"))
+    start = rf"(?U)^{WHITE}*"
+    kind = lambda x: F.when(x.rlike(start + FENCE), "f").when(x.rlike(rf"(?U)\A{WHITE}*\z"), "b").otherwise("t")
 
-    def step(s: Column, x: Column) -> Column:
-        fence = is_fence(x)
-        blank = ~fence & ~s["code"] & (strip(x) == "")
-        return F.struct(
-            F.when(blank & s["blank"], s["out"]).otherwise(F.concat(s["out"], F.array(F.when(blank, F.lit("")).otherwise(x)))).alias("out"),
-            F.when(fence, ~s["code"]).otherwise(s["code"]).alias("code"),
-            blank.alias("blank"),
-        )
+    def stretch(lines: Column, kinds: Column, fences: Column, k: Column) -> Column:
+        first = F.when(k == 0, F.lit(1)).otherwise(F.try_element_at(fences, k))
+        last = F.when(k == F.size(fences), F.size(lines)).otherwise(F.try_element_at(fences, k + 1) - 1)
+        own = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        blank = lambda i: (k % 2 == 0) & (kinds[i - 1] == "b")
+        kept = F.filter(own, lambda i: ~(blank(i) & (i > first) & (kinds[i - 2] == "b")))
+        return F.transform(kept, lambda i: F.when(blank(i), F.lit("")).otherwise(lines[i - 1]))
 
-    def finish(s: Column) -> Column:
-        closed = F.when(s["code"], F.concat(s["out"], F.array(F.lit(FENCE)))).otherwise(s["out"])
-        return F.regexp_replace(F.array_join(closed, "\n"), r"(?<!\n)\n+\z", "")
+    def formatted(lines: Column, kinds: Column) -> Column:
+        fences = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: kinds[i - 1] == "f")
+        whole = _let(fences, lambda f: F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.size(f)), lambda k: stretch(lines, kinds, f, k))), F.when(F.size(f) % 2 == 1, F.array(F.lit(FENCE))).otherwise(F.array().cast("array<string>"))))
+        # Lines in code keep their blank ends: they are followed by the closing fence.
+        return F.regexp_replace(F.array_join(whole, "\n"), r"(?<!\n)\n+\z", "")
 
-    # Lines in code keep their blank ends: they are followed by the closing fence.
-    return F.aggregate(lines, start, step, finish)
+    return _let(split_lines(c), lambda lines: F.when(F.size(lines) == 0, F.lit("")).otherwise(_let(F.transform(lines, kind), lambda kinds: formatted(lines, kinds))))
 
 
 def text_or_parts(text: Column, parts: Column) -> Column:
@@ -61,7 +68,7 @@ def text_or_parts(text: Column, parts: Column) -> Column:
 
 def sanitize_filename(c: Column, max_len: int = 120) -> Column:
     """``c`` as a file name: forbidden characters become ``_``, white space is collapsed, long names keep their extension after ``...``."""
-    c = F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1F]', "_")
+    c = F.regexp_replace(c, FORBIDDEN, "_")
     c = strip(F.regexp_replace(c, rf"(?U){WHITE}+", " "))
     ext = F.regexp_extract(c, r"(\.[^.]*)$", 1)
     root = F.substring(c, F.lit(1), F.length(c) - F.length(ext))

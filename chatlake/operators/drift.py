@@ -124,10 +124,14 @@ def cast(value, kind: str):
     return value if isinstance(value, list) and all(isinstance(v, str) for v in value) else None
 
 
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def record_of(text: str | None) -> dict | None:
     """The object of a line, or None if it is none."""
     try:
-        record = json.loads(text)
+        record = json.loads(text, parse_constant=_refuse)
     except (ValueError, TypeError, RecursionError):
         return None
     return record if isinstance(record, dict) else None

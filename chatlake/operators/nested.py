@@ -97,9 +97,14 @@ class Spans:
         return json.loads(raw[a : b + 1]) if b"\\" in text else text.decode()
 
 
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _valid(text: str) -> bool:
+    """Whether ``text`` is JSON; NaN and Infinity are none."""
     try:
-        json.loads(text)
+        json.loads(text, parse_constant=_refuse)
     except (ValueError, RecursionError):
         return False
     return True

@@ -13,11 +13,11 @@ from chatlake.schemas import MANIFEST, PARSED
 def read_parsed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Headers (the first of each file) and messages of the parsed.jsonl files at or under ``path``; bad lines are skipped.
 
-    Both carry ``source`` and ``position``, the place of the line in the reading order of its file.
+    Both carry ``source`` and ``position``, the place of the line in its file: by the part of the file it was read from, then by its place there.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
     rows = reader.schema(PARSED + ", _corrupt_record STRING").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    rows = rows.withColumns({"source": F.col("_metadata.file_path"), "position": F.col("_metadata.file_block_start") * 0 + F.monotonically_increasing_id()})
+    rows = rows.withColumns({"source": F.col("_metadata.file_path"), "position": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))})
     rows = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
     first = rows.where("record_type = 'thread'").groupBy("source").agg(F.min_by(F.struct("provider_id", "conversation_id", "message_count"), "position").alias("h"))
     return first.select("source", "h.*"), rows.where("record_type = 'message'").drop("record_type", "message_count")
