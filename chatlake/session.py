@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch_dir(spark: SparkSession) -> str:
     """This application's folder in the shared one; it is deleted when the session's process ends."""
     path = f"{shared_dir(spark)}/chatlake-{spark.sparkContext.applicationId}"
     if path not in _made:
@@ -61,7 +61,7 @@ _made: set[str] = set()
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,7 +79,7 @@ def ship(spark: SparkSession) -> None:
             if f.suffix in (".py", ".json", ".npz"):
                 z.write(f, f.relative_to(package.parent))
     # Written by Hadoop, so the shared folder may be on any file system.
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_scratch(spark)}/chatlake.zip")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/chatlake.zip")
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
     try:
         out.write(data.getvalue())

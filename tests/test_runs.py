@@ -239,3 +239,32 @@ def test_stream_of_snapshots(spark, tmp_path):
         streaming.run(spark, str(drop), table, check).awaitTermination(120)
     assert rows(threads.thread_index(streaming.current(spark, table).drop("batch")), "conversation_id", "message_count") == [("a", 3), ("b", 1)]
     assert rows(spark.read.parquet(table).groupBy("batch").count().orderBy("batch"), "count") == [(3,), (3,)]
+
+
+def test_folders_of_mixed_files(spark, tmp_path):
+    """Each file is read by its own kind: none of a line, array and object file loses a row to another."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text('{"id": "a1"}\n\n{"id": "a2"}\nbroken\n')
+    (folder / "b.json").write_text('[\n  {"id": "b1"},\n  {"id": "b2", "x": [1, {"y": "]"}]},\n  7\n]\n')
+    (folder / "c.json").write_text('{\n  "id": "c1"\n}\n')
+    (folder / "d.json").write_text("\ufeff  [{\"id\": \"d1\"}]")
+    (folder / "e.json").write_text("")
+    (folder / "_SUCCESS").write_text("x")
+    (folder / "f.jsonl").write_text('{"id": "f1", "t": "' + "z" * 100_000 + '"}\n{"id": "f2"}\n')
+    good, bad = exports.read_export(spark, str(folder))
+    ids = sorted(r[0] for r in good.selectExpr("variant_get(v, '$.id', 'string')").collect())
+    assert ids == ["a1", "a2", "b1", "b2", "c1", "d1", "f1", "f2"]
+    assert sorted((r.source.rsplit("/", 1)[1], r.raw) for r in bad.collect()) == [("a.jsonl", "broken"), ("b.json", None)]
+
+
+def test_large_arrays_are_streamed(spark, tmp_path, monkeypatch):
+    import json
+
+    records = [{"id": f"r{i}", "text": "ä[]{}\"\\ " * (i % 50)} for i in range(2000)]
+    (tmp_path / "large.json").write_text(json.dumps(records, ensure_ascii=False, indent=1), "utf-8")
+    monkeypatch.setattr(exports, "WHOLE_BYTES", 1000)
+    good, bad = exports.read_export(spark, str(tmp_path / "large.json"))
+    got = {r[0]: r[1] for r in good.selectExpr("variant_get(v, '$.id', 'string')", "variant_get(v, '$.text', 'string')").collect()}
+    assert got == {r["id"]: r["text"] for r in records} and bad.count() == 0
+    assert {r.source.rsplit("/", 1)[1] for r in good.select("source").distinct().collect()} == {"large.json"}
