@@ -23,9 +23,9 @@ from chatlake.llm.pii_model import KINDS, TAGS, Tagger
 
 MODEL = Path(__file__).with_name("pii_model.npz")
 #: Characters of a window and of its overlap with the next.
-WINDOW, OVERLAP = 112, 48
+WINDOW, OVERLAP = 256, 48
 #: Windows decoded together.
-BATCH = 512
+BATCH = 256
 
 #: Groups of digits in which telephone numbers are written and no numbers of papers, and the other way about, whatever the words around.
 _PHONE_GROUPS = re.compile(r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}|0[1-9](?P<sign>[ .-])\d\d(?:(?P=sign)\d\d){3}|9[1-9](?P<gap>[ .-])\d{3}(?:(?P=gap)\d\d){2}")
