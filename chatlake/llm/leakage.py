@@ -131,27 +131,32 @@ def leaked_items(documents: DataFrame, items: DataFrame, width: int = WIDTH, id_
     is searched whole; passages beyond ``PASSAGES_A_PASS`` are searched in further passes.
     """
     spark: SparkSession = documents.sparkSession
-    own = own_passages(items, width)
-    total = own.count()
-    passes = max(1, -(-total // PASSAGES_A_PASS))
+    own = materialize(own_passages(items, width), "passages")
+    passes = max(1, -(-own.count() // PASSAGES_A_PASS))
     docs = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = []
+    out = None
     for k in range(passes):
-        rows = own.where(F.pmod(F.xxhash64("passage"), F.lit(passes)) == k).collect()
-        sent = spark.sparkContext.broadcast([(r.item_id, tuple(r.passage.split(" "))) for r in rows])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, width)
-            for batch in batches:
-                docs_, items_ = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for item in matcher.search(text.as_py()):
-                        docs_.append(doc)
-                        items_.append(item)
-                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(items_, pa.int64())], names=["doc_id", "item_id"])
-
-        parts.append(docs.mapInArrow(run, "doc_id bigint, item_id bigint"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        found, sent = _search(spark, docs, own.where(F.pmod(F.xxhash64("passage"), F.lit(passes)) == k), width)
+        if passes > 1:
+            # One pass at a time: its passages are gone before those of the next are gathered.
+            found = materialize(found, "leaks")
+            sent.destroy()
+        out = found if out is None else out.unionByName(found)
     return out.distinct()
+
+
+def _search(spark: SparkSession, docs: DataFrame, own: DataFrame, width: int) -> tuple[DataFrame, object]:
+    """(doc_id, item_id) of the passages of one pass, at most about ``PASSAGES_A_PASS``, and what was sent to the workers."""
+    sent = spark.sparkContext.broadcast([(r.item_id, tuple(r.passage.split(" "))) for r in own.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, width)
+        for batch in batches:
+            docs_, items_ = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for item in matcher.search(text.as_py()):
+                    docs_.append(doc)
+                    items_.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(items_, pa.int64())], names=["doc_id", "item_id"])
+
+    return docs.mapInArrow(run, "doc_id bigint, item_id bigint"), sent
