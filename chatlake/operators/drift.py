@@ -146,11 +146,11 @@ def paths_of(target: Target) -> dict[str, tuple[str, str]]:
     return by_path
 
 
-def enforce(record: dict, by_path: dict[str, tuple[str, str]]) -> tuple[dict, dict[str, str], dict[str, str], str]:
+def enforce(record: dict, by_path: dict[str, tuple[str, str]]) -> tuple[dict, dict[str, str], dict[str, str], list[tuple[str, str | None]]]:
     """Column values of a record, the JSON texts they came from by path, the rescued fields by path, and the record's shape."""
     filled, typed, rescued, shape = {}, {}, {}, []
     for path, value in fields_of(record):
-        shape.append([path, kind_of(value)])
+        shape.append((path, kind_of(value)))
         to = by_path.get(path)
         got = cast(value, to[1]) if to else None
         if got is not None and to[0] not in filled:
@@ -158,15 +158,16 @@ def enforce(record: dict, by_path: dict[str, tuple[str, str]]) -> tuple[dict, di
             typed[path] = canonical(value)
         elif not isinstance(value, dict) or not value:
             rescued[path] = canonical(value)
-    return filled, typed, rescued, json.dumps(shape, ensure_ascii=False)
+    return filled, typed, rescued, shape
 
 
 def rescue(raw: DataFrame, target: Target = RECORDS) -> DataFrame:
     """Each line of ``raw`` (file_id, line_no, record_kind, raw) once more as typed columns and ``rescued``.
 
     ``rescued`` maps the path of every field that fills no column - unknown, or not castable - to its JSON text; objects are
-    taken apart. ``typed`` maps the paths that fill columns to the JSON they came from. ``shape`` is a JSON array of the line's
-    fields, objects included, with their types; few shapes cover many lines. Lines that are not a JSON object have ``valid``
+    taken apart. ``typed`` maps the paths that fill columns to the JSON they came from. ``shape`` is a JSON array of
+    the line's fields, objects included, with their types, as far as no line before it in the same task and file showed them, so
+    the shapes of a file are together its fields; null if it has none. Lines that are not a JSON object have ``valid``
     false and nothing else. Repeated lines stay repeated.
     """
     names = list(target.columns)
@@ -176,12 +177,17 @@ def rescue(raw: DataFrame, target: Target = RECORDS) -> DataFrame:
     by_path = paths_of(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, set] = {}  # fields of the files of this task
         for batch in batches:
             rows = []
             for file_id, line_no, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
                 record = record_of(text)
                 valid = record is not None
-                filled, typed, rescued, shape = enforce(record, by_path) if valid else ({}, {}, {}, None)
+                filled, typed, rescued, shape = enforce(record, by_path) if valid else ({}, {}, {}, [])
+                known = seen.setdefault((file_id, kind), set())
+                fresh = [f for f in shape if f not in known]
+                known.update(fresh)
+                shape = json.dumps(fresh, ensure_ascii=False) if fresh else None
                 rows.append([file_id, line_no, kind, valid, *(filled.get(n) for n in names), list(typed.items()), list(rescued.items()), shape])
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["file_id", "line_no", "record_kind", "valid", *names, "typed", "rescued", "shape"])
@@ -244,8 +250,7 @@ def changes_of(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     added or removed. Files that the manifest does not name are left out.
     """
     lines = lines.where("valid")
-    shapes = lines.select("file_id", "record_kind", "shape").distinct()
-    fields = shapes.select("file_id", "record_kind", F.explode(F.from_json("shape", "array<array<string>>")).alias("f"))
+    fields = lines.where("shape IS NOT NULL").select("file_id", "record_kind", F.explode(F.from_json("shape", "array<array<string>>")).alias("f"))
     kinds = fields.groupBy("file_id", "record_kind", F.col("f")[0].alias("field")).agg(F.array_sort(F.collect_set(F.col("f")[1])).alias("kinds"))
     kinds = materialize(kinds, "kinds")
     pairs = file_pairs(manifest)
