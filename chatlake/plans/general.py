@@ -52,6 +52,10 @@ up AS (SELECT n.conversation_id, n.node_id, p.node_id AS parent FROM once n LEFT
 lv AS (SELECT conversation_id, node_id, node_id AS root_id, CAST(0 AS INTEGER) AS depth FROM up WHERE parent IS NULL
   UNION ALL SELECT u.conversation_id, u.node_id, l.root_id, l.depth + 1 FROM up u JOIN lv l ON l.conversation_id = u.conversation_id AND l.node_id = u.parent)"""
 
+PATHS = LINKS[: LINKS.index(",\nlv AS")] + """,
+lp AS (SELECT conversation_id, node_id, [node_id] AS way FROM up WHERE parent IS NULL
+  UNION ALL SELECT u.conversation_id, u.node_id, list_append(p.way, u.node_id) FROM up u JOIN lp p ON p.conversation_id = u.conversation_id AND p.node_id = u.parent)"""
+
 SQL: dict[str, str] = {
     "p5_found": """WITH RECURSIVE m AS (SELECT DISTINCT node_id, message FROM mapping WHERE json_valid(message)),
 w AS (
@@ -64,5 +68,8 @@ w AS (
     FROM w WHERE json_type(j) IN ('OBJECT', 'ARRAY'))),
 o AS (SELECT node_id, path, string_split(near, chr(1)) AS ps FROM w WHERE json_type(j) = 'OBJECT' AND path LIKE '%]')
 SELECT DISTINCT node_id, path AS item_path, CASE WHEN len(ps) > 2 THEN ps[-2] ELSE '' END AS parent_path FROM o""",
+    "p7_paths": f"WITH RECURSIVE {PATHS} SELECT u.conversation_id, u.node_id, coalesce(p.way[1], '') AS root_id, coalesce(len(p.way) - 1, -1) AS depth, p.way IS NULL AS cyclic, coalesce(array_to_string(p.way, '/'), '') AS path FROM up u LEFT JOIN lp p ON p.conversation_id = u.conversation_id AND p.node_id = u.node_id",
+    "p7_descendants": f"WITH RECURSIVE {PATHS} SELECT conversation_id, unnest(way[:-2]) AS node_id, node_id AS descendant_id FROM lp WHERE len(way) > 1",
+    "p7_descendant_counts": f"WITH RECURSIVE {PATHS}, d AS (SELECT conversation_id, a AS node_id, count(*) AS n FROM (SELECT conversation_id, unnest(way[:-2]) AS a FROM lp WHERE len(way) > 1) GROUP BY ALL) SELECT u.conversation_id, u.node_id, coalesce(d.n, 0) AS descendants FROM up u LEFT JOIN d ON d.conversation_id = u.conversation_id AND d.node_id = u.node_id",
     "p7_found": f"WITH RECURSIVE {LINKS} SELECT u.conversation_id, u.node_id, coalesce(l.root_id, '') AS root_id, coalesce(l.depth, -1) AS depth FROM up u LEFT JOIN lv l ON l.conversation_id = u.conversation_id AND l.node_id = u.node_id",
 }
