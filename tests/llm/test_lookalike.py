@@ -30,6 +30,9 @@ def wide(t):
         ("x\ny", "x  \r\ny\n\n"),
         ("한글", unicodedata.normalize("NFD", "한글")),
         ("q" + chr(0x323) + chr(0x307), "q" + chr(0x307) + chr(0x323)),
+        ("noon", "ոⲟⲟո"),
+        ("LISA", "ꓡꓲꓢꓮ"),
+        ("mild", "ⅿⅰⅼⅾ"),
     ],
 )
 def test_same_look(a, b):
