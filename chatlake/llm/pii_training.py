@@ -8,6 +8,8 @@ else. No table of threads takes part in training.
 The weights and the alphabet are written to ``pii_model.npz`` beside this file.
 
 Each step adds up the gradients of several processes, so a large batch takes the time of a small one.
+``--resume`` goes on from the model that is there, ``--average STATE ...`` writes the mean of several of its states; the
+model here is the mean of the last three of one training of 22,600 steps, to which sentences were added on the way.
 """
 
 from __future__ import annotations
@@ -137,7 +139,7 @@ EVERYDAY = {
         "old new small large heavy light warm cold dry wet clean dirty empty full open quiet loud slow quick bright dark soft hard sweet sour bitter fresh stale plain fancy narrow wide deep shallow steep flat round square straight broken rusty wooden golden silver grey brown yellow purple strange common rare cheap costly useful useless happy sad tired hungry careful careless clever lazy brave shy polite rude honest modest patient early late lonely noisy sleepy slippery sticky sturdy thirsty ugly wild wise".split(),
         "slowly quickly quietly gladly rarely often always twice again briefly safely loosely firmly neatly roughly plainly promptly usually carefully gently suddenly later soon almost together alone outside upstairs downtown".split(),
         "in the morning;after lunch;before winter;last week;next year;on the bus;under the table;near the station;at night;over the weekend;during the meeting;in spring;behind the house;on the roof;at the market;by the river;in the attic;every day;on Sunday;in August;for an hour".split(";"),
-        ["The A N Vs the N B.", "T the N was A, and nobody knew where the N had gone.", "Do not V the N; it is still A.", "I wanted to V # Ns, but I only found #.", "Where did you put the A N?", "There is a A N T, and the N is A.", "A A N is better than a A N.", "Somebody has to V the N B.", "We V the N because the N is A.", "Is the N always so A T?", "She said that the N would V T.", "He could V a N B, as his father did.", "# Ns and # Ns were left T.", "Have you ever seen a N V a N?", "My N is as A as your N.", "N, N and N", "Please V the N T and tell me how it went.", "They used to V the N T.", "The N of the N was A and A.", "How many Ns can a N V T?", "No N is A enough to V a N.", "# A Ns", "They sold # A Ns T, and # Ns too.", "I saw # A Ns T.", "He can V it B, she cannot.", "V it B or V them T.", "V me a A N!", "Will you V them B?", "it is B A, and so are # A Ns", "We have # A Ns and # A Ns.", "the A A N", "A N B Vs it; # Ns V it too.", "N N", "N V", "A N N T", "N Ns", "do N Ns V A N Ns T?", "about N Ns and N Ns", "His book on N Ns is A.", "Her talk about N Ns T", "N Ns and A N Ns", "What do N Ns V T?", "a note on N Ns for the N", "The N on N Ns is T.", "for N Ns I would V B", "V N.N", "from N to N", "N Ns are A"],
+        ["The A N Vs the N B.", "T the N was A, and nobody knew where the N had gone.", "Do not V the N; it is still A.", "I wanted to V # Ns, but I only found #.", "Where did you put the A N?", "There is a A N T, and the N is A.", "A A N is better than a A N.", "Somebody has to V the N B.", "We V the N because the N is A.", "Is the N always so A T?", "She said that the N would V T.", "He could V a N B, as his father did.", "# Ns and # Ns were left T.", "Have you ever seen a N V a N?", "My N is as A as your N.", "N, N and N", "Please V the N T and tell me how it went.", "They used to V the N T.", "The N of the N was A and A.", "How many Ns can a N V T?", "No N is A enough to V a N.", "# A Ns", "They sold # A Ns T, and # Ns too.", "I saw # A Ns T.", "He can V it B, she cannot.", "V it B or V them T.", "V me a A N!", "Will you V them B?", "it is B A, and so are # A Ns", "We have # A Ns and # A Ns.", "the A A N", "A N B Vs it; # Ns V it too.", "N N", "N V", "A N N T", "N Ns", "do N Ns V A N Ns T?", "about N Ns and N Ns", "His book on N Ns is A.", "Her talk about N Ns T", "N Ns and A N Ns", "What do N Ns V T?", "a note on N Ns for the N", "The N on N Ns is T.", "for N Ns I would V B", "V N.N", "B enough", "it is B enough for N Ns", "A A N is B enough", "The N wants a A N, since the N is A.", "He would rather have a A N.", "from N to N", "N Ns are A"],
     ),
     "de": (
         "Fenster Tisch Stuhl Brief Garten Straße Brücke Fluss Wald Berg Winter Sommer Herbst Frühling Frühjahr Morgen Abend Nacht Küche Keller Dach Wand Lampe Decke Kissen Spiegel Regal Schublade Korb Eimer Leiter Hammer Schaufel Seil Kerze Uhr Bild Lied Markt Hafen Insel Wolke Sturm Schatten Farbe Form Größe Preis Angebot Grund Frage Antwort Idee Plan Regel Gesetz Zeitung Gedicht Kapitel Seite Wohnung Treppe Zaun Klingel Koffer Fähre Straßenbahn Speisekarte Konzert Probe Museum Urlaub Hausaufgabe Bücherei Quittung Geburtstag Nachbarschaft Werkstatt Kühlschrank Zwiebel Kartoffel Kohl Apfel Kirsche Pflaume Suppe Käse Butter Honig Zucker Kaffee Ofen Teller Löffel Messer Gabel Tasse Glas Dose Seife Handtuch Bürste Mantel Schal Handschuh Knopf Faden Nadel Wolle Pferd Schaf Ziege Taube Lehrer Nachbarin Bäcker Fahrer Kollegin Drucker Tastatur Bildschirm Ordner Passwort Zug Bahnhof Fahrplan".split(),
@@ -220,7 +222,7 @@ class Maker:
     def east_asian(self) -> str:
         x = self.r.random()
         if x < 0.62:
-            kanji = self.kanji if self.r.random() < 0.4 else _KANJI_FAMILY
+            kanji = self.kanji if self.r.random() < 0.55 else _KANJI_FAMILY
             family = "".join(self.pick(kanji) for _ in range(2 if self.r.random() < 0.9 else self.pick([1, 3])))
             given = self.pick(_KANA_GIVEN) if self.r.random() < 0.45 else "".join(self.pick(_KANJI_GIVEN) for _ in range(self.pick([1, 2, 2, 2, 3])))
             if self.r.random() < 0.1:
@@ -614,8 +616,19 @@ def train(steps: int, folders: list[str], pods: list[str], batch: int = 48, seed
         p.send(None)
 
 
+def average(paths: list[str]) -> bytes:
+    """The model whose weights are the means of those of several states of one training."""
+    states = [Tagger.load(Path(p).read_bytes()) for p in paths]
+    out = states[0]
+    out.p = {k: np.mean([s.p[k] for s in states], axis=0) for k in out.p}
+    return out.dump()
+
+
 if __name__ == "__main__":
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     go_on = "--resume" in sys.argv
     args = [x for x in sys.argv[1:] if x != "--resume"]
+    if args[:1] == ["--average"]:
+        MODEL.write_bytes(average(args[1:]))
+        sys.exit()
     train(int(args[0]) if args else 8000, args[1:] or ["/usr/share/locale"], ["/usr/share/perl", "/usr/lib"], seed=11 if go_on else 5, first=Tagger.load(MODEL.read_bytes()) if go_on else None)
