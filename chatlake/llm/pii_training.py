@@ -9,7 +9,7 @@ The weights and the alphabet are written to ``pii_model.npz`` beside this file.
 
 Each step adds up the gradients of several processes, so a large batch takes the time of a small one.
 ``--resume`` goes on from the model that is there, ``--average STATE ...`` writes the mean of several of its states; the
-model here is the mean of the last three of one training of 22,600 steps, to which sentences were added on the way.
+model here is the mean of the last three of one training of 23,400 steps, to which sentences were added on the way.
 """
 
 from __future__ import annotations
