@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -149,6 +150,12 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+@lru_cache(2)
+def _finder(model: bytes) -> Finder:
+    """One finder per worker and model."""
+    return Finder(model)
+
+
 def _parts(mapping: DataFrame) -> DataFrame:
     return mapping.where("parts IS NOT NULL").select("node_id", F.posexplode("parts").alias("part_no", "part")).where("part IS NOT NULL")
 
@@ -162,7 +169,7 @@ def tagged_parts(mapping: DataFrame, model: str | Path = MODEL) -> DataFrame:
     sent = mapping.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(sent.value)
+        finder = _finder(sent.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             rows: list[tuple[int, str, list[str]]] = []
@@ -187,7 +194,7 @@ def masked_parts(mapping: DataFrame, model: str | Path = MODEL) -> DataFrame:
     sent = mapping.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(sent.value)
+        finder = _finder(sent.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             out = [masked(t, spans) for at in range(0, len(texts), 2000) for t, spans in zip(texts[at : at + 2000], finder.spans(texts[at : at + 2000]))]

@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -326,6 +327,12 @@ class Prose:
         return cls(z["keys"].astype(np.int64), z["counts"], z["bounds"])
 
 
+@lru_cache(2)
+def _prose(model: bytes) -> Prose:
+    """One model per worker."""
+    return Prose.load(model)
+
+
 def spam_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | Path = MODEL) -> DataFrame:
     """(doc_id, share): pages of which abnormal stretches are the greater part, with their share.
 
@@ -335,7 +342,7 @@ def spam_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = documents.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prose = Prose.load(sent.value)
+        prose = _prose(sent.value)
         for batch in batches:
             ids, shares, some, size = [], [], [], 0
             for doc, text in [*zip(batch.column(0).to_pylist(), batch.column(1)), (None, None)]:
