@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -16,6 +17,8 @@ from chatlake.sources import exports
 from chatlake.sources.threads import read_manifest, read_parsed
 
 log = logging.getLogger("chatlake")
+#: Written files between two lines of progress in the log.
+PROGRESS = 100
 
 
 @dataclass
@@ -35,6 +38,14 @@ class Result:
         return self.skipped_threads + self.skipped_messages
 
 
+def _followed(rows: Iterator, what: str) -> Iterator:
+    """``rows`` once more, with a line in the log every ``PROGRESS`` of them."""
+    for n, r in enumerate(rows, 1):
+        yield r
+        if n % PROGRESS == 0:
+            log.info("%d %s", n, what)
+
+
 def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -62,13 +73,14 @@ def parse(spark: SparkSession, provider: str, path: str, outdir: str, *, dry_run
             valid = checked.join(found, ["conversation_id", "message_id"], "left_anti")
         fresh = classified.where("decision <> 'SKIP'")
         valid = valid.where("valid").drop("reasons", "valid")
-        wrong = checked.where("NOT valid").count()
+        # Messages that the rules or, if asked for, the schema turn away.
+        wrong = checked.count() - valid.count() if validate_schema else checked.where("NOT valid").count()
         if fail_fast and wrong:
             raise validate.ValidationError(f"{wrong} messages are invalid")
         result = Result(totals["n"] - (totals["s"] or 0), totals["m"] or 0, bad.count(), totals["s"] or 0, wrong, samples)
         if not dry_run:
             written = files.write_parsed(valid.join(fresh.select("conversation_id"), "conversation_id", "left_semi"), fresh, outdir)
-            for r in written.toLocalIterator():
+            for r in _followed(written.toLocalIterator(), "threads written"):
                 result.paths.append(r["path"])
                 if r["error"]:
                     result.errors += 1
@@ -100,7 +112,7 @@ def export(spark: SparkSession, parsed: str, outdir: str, *, tz: str = "UTC", fo
         return Result()
     written = write_markdown(messages, outdir, spec, tz, formatting, generated_at or now())
     result = Result()
-    for r in written.toLocalIterator():
+    for r in _followed(written.toLocalIterator(), "files written"):
         if r["error"]:
             result.errors += 1
             result.samples = [*result.samples, r["error"]][:5]
@@ -121,6 +133,7 @@ def chain(spark: SparkSession, provider: str, path: str, outdir: str, *, parsed_
         log.warning("no threads under %s", root)
         return first, Result()
     second = export(spark, root, export_outdir or f"{outdir}/export", tz=tz, formatting=formatting, spec=spec)
+    log.info("chain: %d threads parsed, %d skipped, %d records in error; %d files written, %d failed", first.threads, first.skipped_threads, first.errors, len(second.paths), second.errors)
     if fail_fast and second.errors:
         raise files.WriteError(second.samples[0])
     return first, second

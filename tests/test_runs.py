@@ -268,3 +268,23 @@ def test_large_arrays_are_streamed(spark, tmp_path, monkeypatch):
     got = {r[0]: r[1] for r in good.selectExpr("variant_get(v, '$.id', 'string')", "variant_get(v, '$.text', 'string')").collect()}
     assert got == {r["id"]: r["text"] for r in records} and bad.count() == 0
     assert {r.source.rsplit("/", 1)[1] for r in good.select("source").distinct().collect()} == {"large.json"}
+
+
+def test_progress_and_totals_are_logged(spark, tmp_path, monkeypatch, caplog):
+    import logging
+
+    monkeypatch.setattr(pipeline, "PROGRESS", 2)
+    source = write(tmp_path / "in.jsonl", "\n".join(json.dumps(conversation(c)) for c in "abcde") + "\nbroken\n")
+    with caplog.at_level(logging.INFO, logger="chatlake"):
+        first, second = pipeline.chain(spark, "openai", source, str(tmp_path / "out"))
+    said = [r.getMessage() for r in caplog.records]
+    assert "2 threads written" in said and "4 threads written" in said and "4 files written" in said
+    assert "chain: 5 threads parsed, 0 skipped, 1 records in error; 5 files written, 0 failed" in said
+    assert (first.threads, len(second.paths)) == (5, 5)
+
+
+def test_the_schema_counts_what_it_turns_away(spark, tmp_path):
+    """A time before 1970 passes the rules, not the schema."""
+    source = write(tmp_path / "in.jsonl", json.dumps(conversation("a", 2)) + "\n" + json.dumps(conversation("b", 1, start=-5.0)))
+    assert pipeline.parse(spark, "openai", source, str(tmp_path / "one")).skipped_messages == 0
+    assert pipeline.parse(spark, "openai", source, str(tmp_path / "two"), validate_schema=True).skipped_messages == 1
