@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.sizes import parse_size
@@ -19,6 +19,8 @@ from chatlake.operators.render import blocks, front_matter, ordered_text
 
 #: Bytes that front matter is taken for.
 FRONT_MATTER = 1024
+#: Messages of a thread that ``assign_parts_in_row`` packs in one value.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -74,34 +76,66 @@ class Packer:
         return self.part
 
 
-def pack_column(sizes: Column, spec: SplitSpec, overhead: int = FRONT_MATTER) -> Column:
-    """``pack`` as an expression over an array of sizes: an array of part numbers."""
-    total = F.size(sizes)
+def pack_start() -> Column:
+    """The state of ``Packer`` before the first block, as an expression."""
     zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(1).alias("part"), zero.alias("used"), zero.alias("held"), zero.alias("i"), F.array().cast("array<int>").alias("out"))
+    return F.struct(F.lit(1).alias("part"), zero.alias("used"), zero.alias("held"), zero.alias("seen"))
+
+
+def pack_next(s: Column, b: Column, total: Column, spec: SplitSpec, overhead: int = FRONT_MATTER) -> Column:
+    """``Packer.add`` as an expression: the state after a block of ``b`` bytes. ``total`` is read at every step, so it must be a column."""
+    over_size = (s["used"] + b + overhead > spec.size_limit) if spec.size_limit else F.lit(False)
+    over_count = (~over_size & (s["held"] >= spec.count_limit)) if spec.count_limit else F.lit(False)
+    within = (~over_count & (s["used"] + b + overhead <= spec.soft_limit)) if spec.size_limit else F.lit(False)
+    tail = total - (s["seen"] + 1) <= spec.tiny_tail
+    flush = (over_size | over_count) & (s["held"] > 0)
+    if not spec.hard:
+        flush = flush & ~(within | tail)
+    return F.struct((s["part"] + flush.cast("int")).alias("part"), (F.when(flush, 0).otherwise(s["used"]) + b).alias("used"), (F.when(flush, 0).otherwise(s["held"]) + 1).alias("held"), (s["seen"] + 1).alias("seen"))
+
+
+def pack_states(chunks: Column, total: Column, spec: SplitSpec, overhead: int = FRONT_MATTER) -> Column:
+    """The state in which each chunk begins, of the chunks of sizes of one thread; copied once per chunk, not once per block."""
+    state = "struct<part:int,used:bigint,held:bigint,seen:bigint>"
+    start = F.struct(pack_start().alias("now"), F.array().cast(f"array<{state}>").alias("out"))
+
+    def step(s: Column, sizes: Column) -> Column:
+        now = F.aggregate(sizes, s["now"], lambda t, b: pack_next(t, b, total, spec, overhead))
+        return F.struct(now.alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out"))
+
+    return F.aggregate(chunks, start, step, lambda s: s["out"])
+
+
+def pack_column(sizes: Column, start: Column, total: Column, spec: SplitSpec, overhead: int = FRONT_MATTER) -> Column:
+    """The part numbers of a chunk of sizes that begins in the state ``start``. Each step copies the numbers so far, so chunks are short."""
+    first = F.struct(start.alias("now"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, b: Column) -> Column:
-        over_size = (s["used"] + b + overhead > spec.size_limit) if spec.size_limit else F.lit(False)
-        over_count = (~over_size & (s["held"] >= spec.count_limit)) if spec.count_limit else F.lit(False)
-        within = (~over_count & (s["used"] + b + overhead <= spec.soft_limit)) if spec.size_limit else F.lit(False)
-        tail = total - (s["i"] + 1) <= spec.tiny_tail
-        flush = (over_size | over_count) & (s["held"] > 0)
-        if not spec.hard:
-            flush = flush & ~(within | tail)
-        part = s["part"] + flush.cast("int")
-        return F.struct(part.alias("part"), (F.when(flush, 0).otherwise(s["used"]) + b).alias("used"), (F.when(flush, 0).otherwise(s["held"]) + 1).alias("held"), (s["i"] + 1).alias("i"), F.concat(s["out"], F.array(part)).alias("out"))
+        now = pack_next(s["now"], b, total, spec, overhead)
+        return F.struct(now.alias("now"), F.concat(s["out"], F.array(now["part"])).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    return F.aggregate(sizes, first, step, lambda s: s["out"])
 
 
 def assign_parts_in_row(messages: DataFrame, spec: SplitSpec, tz: str = "UTC", formatting: str = "light", overhead: int = FRONT_MATTER) -> DataFrame:
-    """``assign_parts`` inside the JVM: the sizes of a thread are folded in one row, so only for threads of bounded length."""
-    b = blocks(messages, tz, formatting)
-    item = F.struct(F.col("ts").isNull().alias("late"), "ts", "message_id", "bytes")
-    rows = b.groupBy("provider_id", "conversation_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    rows = rows.withColumn("parts", pack_column(F.transform("items", lambda x: x["bytes"]), spec, overhead))
-    out = rows.select("provider_id", "conversation_id", F.explode(F.arrays_zip("items", "parts")).alias("x"))
-    return out.select("provider_id", "conversation_id", "x.items.ts", "x.items.message_id", "x.items.bytes", F.col("x.parts").alias("part_index"))
+    """``assign_parts`` inside the JVM, in time linear in the length of a thread.
+
+    A thread is numbered by a window and cut into chunks. Only the sizes of its chunks come into one row (8 bytes a message),
+    where they are folded to the state in which each chunk begins; from there the chunks are packed one by one.
+    """
+    # Structs compare equal where their fields are null, so threads of no provider are kept by the join.
+    thread = F.struct("provider_id", "conversation_id").alias("thread")
+    place = F.row_number().over(Window.partitionBy("thread").orderBy(F.col("ts").asc_nulls_last(), "message_id"))
+    placed = blocks(messages, tz, formatting).select(thread, "ts", "message_id", "bytes").withColumn("place", place)
+    item = F.struct("place", "ts", "message_id", "bytes")
+    chunks = placed.groupBy("thread", F.expr(f"int((place - 1) div {CHUNK})").alias("chunk")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    sizes = F.transform("items", lambda x: x["bytes"])
+    whole = chunks.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("chunk", sizes.alias("sizes")))).alias("chunks"), F.sum(F.size("items")).alias("total"))
+    states = pack_states(F.transform("chunks", lambda x: x["sizes"]), F.col("total"), spec, overhead)
+    begun = whole.select("thread", "total", F.posexplode(states).alias("chunk", "start"))
+    parts = pack_column(sizes, F.col("start"), F.col("total"), spec, overhead)
+    out = chunks.join(begun, ["thread", "chunk"]).withColumn("parts", parts).select("thread", F.explode(F.arrays_zip("items", "parts")).alias("x"))
+    return out.select("thread.provider_id", "thread.conversation_id", "x.items.ts", "x.items.message_id", "x.items.bytes", F.col("x.parts").alias("part_index"))
 
 
 def assign_parts(messages: DataFrame, spec: SplitSpec, tz: str = "UTC", formatting: str = "light", overhead: int = FRONT_MATTER) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -159,6 +160,34 @@ def test_expression_agrees_with_stream(spark, spec):
     assert split.assign_parts(m.limit(0), spec).count() == 0
 
 
+def thread_of(spark, n, provider="p"):
+    """A thread of ``n`` messages of varied sizes, in no order, some without a time."""
+    m = spark.range(n).repartition(7)
+    text = F.repeat(F.lit("x"), (F.col("id") * 37 % 900).cast("int"))
+    return m.select(F.lit(provider).cast("string").alias("provider_id"), F.lit("c").alias("conversation_id"), F.format_string("m%07d", "id").alias("message_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("user").alias("role"), F.when(F.col("id") % 97 > 0, F.col("id")).alias("ts"), F.struct(F.lit("text").alias("content_type"), F.array(text).alias("parts")).alias("content"), text.alias("text"), F.lit(None).cast("map<string,string>").alias("meta"))
+
+
+def check_parts_in_row(messages, spec):
+    got = sorted(split.assign_parts_in_row(messages, spec).collect(), key=lambda r: (r.ts is None, r.ts, r.message_id))
+    assert len(got) == messages.count()
+    assert [r.part_index for r in got] == parts_of([r.bytes for r in got], spec)
+
+
+def test_fold_of_a_long_thread_takes_linear_time(spark):
+    m = thread_of(spark, 60_000)
+    began = time.monotonic()
+    check_parts_in_row(m, split.SplitSpec.parse("size=4K", tiny_tail=2))
+    assert time.monotonic() - began < 30  # a fold in quadratic time takes minutes
+
+
+@pytest.mark.parametrize("n", [1, 256, 257, 1537])
+def test_fold_across_chunks(spark, n):
+    for s, o in (("size=4K", {"tiny_tail": 2}), ("size=4096", {"hard": True}), ("count=300", {}), ("auto", {})):
+        check_parts_in_row(thread_of(spark, n), split.SplitSpec.parse(s, **o))
+    # Threads without a provider are threads, too.
+    check_parts_in_row(thread_of(spark, n, None), split.SplitSpec.parse("count=3"))
+
+
 def test_split_specs():
     assert split.SplitSpec.parse("auto").count_limit == 1500 and split.SplitSpec.parse(None).mode is None
     for bad in ("weird", "count=x", "size=", "size=x"):
